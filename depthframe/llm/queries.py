@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
-from .common import table
+from . import bpe, langid, pii
+from .common import held_out, table
 
 
 def _text_of(spans: str) -> Column:
@@ -31,9 +31,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~held_out(F.col("doc_id")))
+    got = langid.predict(docs, model)
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_bpe": op3_bpe,
+    "op4_langid": op4_langid,
 }
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
