@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii
+from . import bpe, langid, pii, toxicity, urls
 from .common import held_out, table
 
+#: A score from which a text counts as toxic.
+TOXIC_FROM = 0.3
+#: Rules for URLs: a host with its subdomains and the beginning of a path; the longest fitting one decides.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
 
 def _text_of(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -24,6 +29,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_text_of("base").cast("binary"), 256).alias("base_sha256"), _text_of("spans").alias("spans"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,10 +50,16 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op9_urls": op9_urls,
 }
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
