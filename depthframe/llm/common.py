@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that go through Python at a time; long texts are bounded by bytes as well.
 PIECE_BYTES = 8 << 20
@@ -57,6 +58,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grown(df: DataFrame, *columns: tuple[str, str]) -> StructType:
+    """The schema of df with more columns; df's own stays as it is."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in columns:
+        schema = schema.add(name, kind)
+    return schema
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast, under internal names: extra or clashing columns of the input can't interfere."""
     return df.select(*(F.col(f"`{src}`").alias(name) for name, src in columns.items()))

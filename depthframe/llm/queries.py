@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, toxicity, urls
+from . import bpe, langid, lines, pii, syncmers, toxicity, urls
 from .common import held_out, table
 
 #: A score from which a text counts as toxic.
@@ -50,17 +50,36 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.clean(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op8_syncmers": op8_syncmers,
     "op9_urls": op9_urls,
+    "op10_lines": op10_lines,
 }
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_lines": f"""
+        WITH l AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+        spread AS (SELECT trim(line) AS line, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {lines.LEAST_SITES}),
+        marked AS (SELECT l.doc_id, l.pos, l.line, s.first IS NOT NULL AND l.doc_id <> s.first AS gone FROM l LEFT JOIN spread s ON trim(l.line) = s.line),
+        kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id)""",
+}

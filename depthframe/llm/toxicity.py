@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import grown, pieces
 
 #: Bytes of text, about, that training takes of each label: whole texts, by a hash.
 TOXIC_BYTES, CLEAN_BYTES = 6_000_000, 12_000_000
@@ -326,4 +326,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c != id_col), F.col(f"`{text_col}`").alias("__text"))
     kept = src.columns[:-1]
-    return src.mapInArrow(run, src.drop("__text").schema.add("score", "double"))
+    return src.mapInArrow(run, grown(src.drop("__text"), ("score", "double")))
