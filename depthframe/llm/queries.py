@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, pii, syncmers, toxicity, urls
+from . import bpe, decontaminate, langid, lines, neardup, pii, syncmers, toxicity, urls
 from .common import held_out, table
 
 #: A score from which a text counts as toxic.
@@ -50,6 +50,16 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    spans = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["item"], h["first"], h["words"], h["agree"])), ",")
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.transform("hits", lambda h: h["item"]).alias("item_ids"), spans.alias("spans"))
+
+
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -68,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_neardup": op7_neardup,
     "op8_syncmers": op8_syncmers,
     "op9_urls": op9_urls,
     "op10_lines": op10_lines,
