@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, neardup, pii, syncmers, toxicity, urls
+from . import bpe, decontaminate, langid, lines, neardup, pii, superstrings, syncmers, toxicity, urls
 from .common import held_out, table
 
 #: A score from which a text counts as toxic.
@@ -56,6 +56,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.transform("hits", lambda h: h["item"]).alias("item_ids"), spans.alias("spans"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superstrings.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffixes": op6_suffixes,
     "op7_neardup": op7_neardup,
     "op8_syncmers": op8_syncmers,
     "op9_urls": op9_urls,
