@@ -170,25 +170,25 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
-    """doc_id, keep, ids (binary: little-endian unsigned 32-bit integers) for every row of docs. No shuffle.
+def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """doc_id, keep, ids_col (binary: little-endian unsigned 32-bit integers) for every row of docs. No shuffle.
 
-    With decoded also that column: the bytes that decoding the ids gives. The vocabulary is
+    With decoded_col also the bytes that decoding the ids gives. Columns of these names are replaced. The vocabulary is
     read on the driver and broadcast: a file of fixed size, under 1 MB here.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(_file(vocab_path))
-    new = ["ids", "decoded"] if decoded else ["ids"]
+    new = [ids_col, decoded_col] if decoded_col else [ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks, pattern)
         for batch in pieces(batches, "__text", 4 << 20):
             ids = vocabulary.encode([t or "" for t in batch.column("__text").to_pylist()])
             cols = [pa.array(ids, pa.binary())]
-            if decoded:
+            if decoded_col:
                 cols.append(pa.array([vocabulary.decode(x) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, *new])
 
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c != id_col), F.col(f"`{text_col}`").alias("__text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c not in ("doc_id", id_col, *new)), F.col(f"`{text_col}`").alias("__text"))
     kept = src.columns[:-1]
     return src.mapInArrow(run, grown(src.drop("__text"), *((c, "binary") for c in new)))
 

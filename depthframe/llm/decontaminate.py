@@ -137,10 +137,10 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) ->
 _HIT = "array<struct<item:long,first:long,words:long,agree:long>>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of docs and hits: for each benchmark item found, its stretch of words and how many agree. No shuffle."""
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = BLOCK_WORDS, hits_col: str = "hits") -> DataFrame:
+    """All columns of docs and hits_col (one of that name is replaced): for each benchmark item found, its stretch of words and how many agree. No shuffle."""
     spark: SparkSession = docs.sparkSession
-    out = docs.withColumn("hits", F.array().cast(_HIT))
+    out = docs.withColumn(hits_col, F.array().cast(_HIT))
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item", "first", "words", "agree")]))
     for block in blocks(benchmark, item_col, item_text_col, most_words):
         sent = spark.sparkContext.broadcast(block)
@@ -148,8 +148,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text_col, 4 << 20):
                 got = sent.value.search(batch.column(text_col).to_pylist())
-                hits = [(old or []) + [dict(zip(("item", "first", "words", "agree"), h, strict=True)) for h in new] for old, new in zip(batch.column("hits").to_pylist(), got, strict=True)]
-                cols = [pa.array(hits, kind) if c == "hits" else batch.column(c) for c in batch.schema.names]
+                hits = [(old or []) + [dict(zip(("item", "first", "words", "agree"), h, strict=True)) for h in new] for old, new in zip(batch.column(hits_col).to_pylist(), got, strict=True)]
+                cols = [pa.array(hits, kind) if c == hits_col else batch.column(c) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
         out = out.mapInArrow(run, grown(out))

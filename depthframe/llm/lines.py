@@ -47,8 +47,8 @@ def spread_lines(lines: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     return sure.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least: int = LEAST_SITES) -> DataFrame:
-    """All columns of docs with the boilerplate taken from the text, n_lines and n_removed.
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least: int = LEAST_SITES, n_lines_col: str = "n_lines", n_removed_col: str = "n_removed") -> DataFrame:
+    """All columns of docs with the boilerplate taken from the text, and two counts (columns of their names are replaced).
 
     Line hashes are shuffled, and the texts once, by id, to meet the numbers of their lines to go.
     """
@@ -76,7 +76,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
                 removed.append(len(marks or ()))
                 out.append(text)
             cols = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in docs_columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*docs_columns, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*docs_columns, n_lines_col, n_removed_col])
 
-    docs_columns = list(docs.columns)
-    return rows.mapInArrow(run, grown(docs, ("n_lines", "long"), ("n_removed", "long")))
+    docs_columns = [c for c in docs.columns if c not in (n_lines_col, n_removed_col)]
+    return rows.mapInArrow(run, grown(docs.select(*(F.col(f"`{c}`") for c in docs_columns)), (n_lines_col, "long"), (n_removed_col, "long")))

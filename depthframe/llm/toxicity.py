@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, pieces
+from .common import grown, pieces, plain
 
 #: Bytes of text, about, that training takes of each label: whole texts, by a hash.
 TOXIC_BYTES, CLEAN_BYTES = 6_000_000, 12_000_000
@@ -315,15 +315,22 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     return fit(got[1], got[0], count.get(1, 0), count.get(0, 0))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep and score for every row of docs. No shuffle; the model is bounded by its sample."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, score_col: str = "score") -> DataFrame:
+    """doc_id and score_col for every row of docs; with keep_text all columns of docs (one of that name is replaced).
+
+    No shuffle; the model is bounded by its sample.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
-            scores = sent.value.score(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
-
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c != id_col), F.col(f"`{text_col}`").alias("__text"))
-    kept = src.columns[:-1]
-    return src.mapInArrow(run, grown(src.drop("__text"), ("score", "double")))
+        for batch in pieces(batches, text):
+            scores = sent.value.score(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, score_col])
+
+    if keep_text:
+        src, text = docs, text_col
+        kept = [c for c in docs.columns if c != score_col]
+    else:
+        src, text = plain(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "text"
+        kept = ["doc_id"]
+    return src.mapInArrow(run, grown(src.select(*(F.col(f"`{c}`") for c in kept)), (score_col, "double")))
