@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, pieces
+from .common import grown, map_batches, pieces
 
 #: Bytes of words that a worker remembers; beyond it forgets them and starts again.
 CACHE_BYTES = 192 << 20
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c not in ("doc_id", id_col, *new)), F.col(f"`{text_col}`").alias("__text"))
     kept = src.columns[:-1]
-    return src.mapInArrow(run, grown(src.drop("__text"), *((c, "binary") for c in new)))
+    return map_batches(src, run, grown(src.drop("__text"), *((c, "binary") for c in new)))
 
 
 def decode(encoded: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", as_col: str = "decoded") -> DataFrame:
@@ -203,4 +203,4 @@ def decode(encoded: DataFrame, vocab_path: str, pattern: str, ids_col: str = "id
             got = [None if x is None else vocabulary.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, as_col])
 
-    return encoded.mapInArrow(run, grown(encoded, (as_col, "binary")))
+    return map_batches(encoded, run, grown(encoded, (as_col, "binary")))

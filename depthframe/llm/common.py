@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
+import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,16 +51,60 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at)
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    """Deletes the tables of this application, at its end."""
+    for spark, folder in _FOLDERS:
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_clear)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else "/tmp/checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder that the cluster names; sets one only where none is set.
+    """Cuts the lineage: writes df as a compressed table in the shared folder and reads it.
 
-    The checkpoint is eager: later stages read the files and nothing is computed twice.
+    A lost executor loses nothing of it, later plans see its size and read only the columns
+    that they use. The tables of an application go when it ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/depthframe-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, folder))
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for an application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="depthframe-")) / "depthframe.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """Arrow batches through a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def grown(df: DataFrame, *columns: tuple[str, str]) -> StructType:

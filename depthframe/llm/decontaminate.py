@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grown, pieces
+from .common import grown, map_batches, pieces
 
 #: Fixed masks: 1 is a place that has to agree. All have five of them.
 MASKS = ("11111", "1101011", "11001011", "101101001")
@@ -152,5 +152,5 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                 cols = [pa.array(hits, kind) if c == hits_col else batch.column(c) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-        out = out.mapInArrow(run, grown(out))
+        out = map_batches(out, run, grown(out))
     return out

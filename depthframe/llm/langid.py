@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, plain
+from .common import map_batches, pieces, plain
 
 ORDER = 4
 #: Bytes of text, about, that training takes of each language: whole texts, by a hash of their id.
@@ -194,4 +194,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     src = plain(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(src, run, "doc_id long, lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, plain
+from .common import map_batches, pieces, plain
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -214,4 +214,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "base", "spans"])
 
     src = plain(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(run, _SCHEMA)
+    return map_batches(src, run, _SCHEMA)

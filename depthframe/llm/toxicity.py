@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, pieces, plain
+from .common import grown, map_batches, pieces, plain
 
 #: Bytes of text, about, that training takes of each label: whole texts, by a hash.
 TOXIC_BYTES, CLEAN_BYTES = 6_000_000, 12_000_000
@@ -333,4 +333,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     else:
         src, text = plain(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "text"
         kept = ["doc_id"]
-    return src.mapInArrow(run, grown(src.select(*(F.col(f"`{c}`") for c in kept)), (score_col, "double")))
+    return map_batches(src, run, grown(src.select(*(F.col(f"`{c}`") for c in kept)), (score_col, "double")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown
+from .common import grown, map_batches
 
 #: Labelled URLs that training takes at most, by a hash of the URL.
 SAMPLE_ROWS = 20_000
@@ -204,5 +204,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
             scores = sent.value.block(batch.column("url").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "block_score"])
 
-    scored = base.mapInArrow(run, grown(base, ("block_score", "double")))
+    scored = map_batches(base, run, grown(base, ("block_score", "double")))
     return scored.withColumn("verdict", F.coalesce("says", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))).drop("says")
