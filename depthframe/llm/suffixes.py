@@ -220,15 +220,19 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> tuple[np.ndarra
     return before, np.maximum(shared, 0)
 
 
-def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text: at which starts its ``width`` bytes occur at another place of these texts as well."""
+def repeated_windows(texts: list[np.ndarray], width: int, symbols: int) -> list[np.ndarray]:
+    """For each text: at which starts its ``width`` symbols occur at another place of these texts as well.
+
+    The symbols are 0 .. symbols - 1, few of them.
+    """
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     t = np.ones(int((sizes + 1).sum()) + 1, np.uint16)
     t[-1] = 0
     for s, x in zip(starts, texts, strict=True):
-        t[s : s + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 2
-    sa = suffix_array(t, 258)
+        t[s : s + len(x)] = x
+        t[s : s + len(x)] += 2
+    sa = suffix_array(t, symbols + 2)
     before, shared = common_prefixes(t, sa, 1)
     long = shared >= width
     twice = long.copy()

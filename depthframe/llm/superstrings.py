@@ -1,21 +1,26 @@
 """Removal of long byte strings that occur more than once, by suffix arrays over shards.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the
-same text or another. Sharding keeps that exact. In the middle of every window of LENGTH
-bytes the run of GRAM bytes with the smallest hash (the first of equal ones) is its anchor,
-so equal windows have equal anchors, and MARGIN bytes on either side of an anchor, its core,
-lie in every window that it anchors. Neighbouring windows of one anchor make a piece.
-
-- Cores that are there once can't hold a repeated window; their pieces go no further.
-- Pieces that are there twice, by a hash of 64 bits, consist of repeated windows only.
-- Different pieces of one core are put into one shard. Its suffix array, by induced sorting,
-  and permuted common prefixes show which windows repeat. Equal pieces are there once.
-- A core with more than MOST_PIECES different pieces would not fit a shard: its windows are
-  hashed (128 bits) and counted by aggregation instead, which any skew can pass through.
-
-Texts are UTF-8 bytes. Defined results: a null text counts as empty; texts shorter than
-LENGTH keep all bytes; repeated rows count as different texts and lose all that repeats.
-What is kept may end inside a character, so it is binary.
+same text or another. Sharding keeps that exact, in two steps of anchoring.
+
+1. In the middle of every window of LENGTH bytes the run of GRAM bytes with the smallest
+   hash (the first of equal ones) is its anchor, so equal windows have equal anchors, and
+   MARGIN bytes on either side of an anchor, its core, lie in every window that it anchors.
+   Neighbouring windows of one anchor make a piece. Pieces whose core is there once go no
+   further; pieces that are there twice, by hash, consist of repeated windows only.
+2. Different pieces of one core are cut by the distance of window and anchor into parts of
+   at most STRIDE windows. All windows of a part share LENGTH - STRIDE + 1 bytes, so equal
+   windows are in parts with equal shared bytes. Only what lies before and after these bytes
+   is still open: it goes, with a symbol for the shared bytes, into a shard. The shard's
+   suffix array, by induced sorting, and permuted common prefixes show which windows repeat.
+
+A core with more than MOST_PIECES different pieces would not fit a shard: its windows are
+hashed (128 bits) and counted by aggregation instead, which any skew can pass through.
+
+Texts are UTF-8 bytes. A document is named by a 64-bit hash of its id and text; cores and
+pieces are compared by 64-bit hashes. Defined results: a null text counts as empty; texts
+shorter than LENGTH keep all bytes; repeated rows count as different texts and lose all that
+repeats. What is kept may end inside a character, so it is binary.
 """
 
 from __future__ import annotations
@@ -25,17 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import checkpointed, map_batches, pieces
 from .suffixes import repeated_windows
 
 LENGTH, GRAM, MARGIN = 400, 16, 72
 #: Places where the anchor of a window can start, after MARGIN bytes.
 PLACES = LENGTH - 2 * MARGIN - GRAM + 1
-#: Different pieces of a core in a shard, and bytes that are sorted at a time.
-MOST_PIECES, SHARD_BYTES = 4000, 1 << 20
+#: Windows in a part, and the bytes that they all share.
+STRIDE = 64
+SHARED = LENGTH - STRIDE + 1
+#: Different pieces of a core that meet in a shard, and symbols that are sorted at a time.
+MOST_PIECES, SHARD = 20_000, 1 << 20
+#: Symbols for bytes, for the shared bytes of a part, and how many bytes number these in a shard.
+SYMBOLS, DIGITS = 257, 3
 #: Bytes of a text that are scanned at a time.
 SCAN = 1 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -89,19 +99,36 @@ def _signed(h: int) -> int:
     return h - (1 << 63)
 
 
+_SCANNED = "key long, core long, piece long, place long, whole array<long>"
+
+
+def _pack(lo: int, hi: int, anchor: int, many: bool) -> int:
+    """A piece's first and last window, its anchor and whether the text has it more than once, in one number."""
+    return lo << 20 | (hi - lo) << 11 | (anchor - lo) << 1 | many
+
+
+def _unpack(place: int) -> tuple[int, int, int]:
+    lo = place >> 20
+    return lo, lo + (place >> 11 & 0x1FF), lo + (place >> 1 & 0x3FF)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """id, version, lo and hi (first and last window start), core and piece (hashes) of every piece."""
+    """The pieces of every text: key, core, piece, place.
+
+    A piece that one text has several times is there once, marked, and a row without core has
+    what all these cover: starts and ends in turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SCAN):
-            ids, versions = batch.column("id").to_pylist(), batch.column("version").to_pylist()
-            out: list[list] = [[] for _ in range(6)]
+            keys = batch.column("key").to_pylist()
+            out: list[list] = [[] for _ in range(5)]
+            # Of texts that several parts have, all pieces are seen together.
+            own: dict[int, dict[tuple[int, int], list[int]]] = {}
             part: list[tuple[int, int, bytes]] = []
             size = 0
 
-            def flush(out=out, part=part, ids=ids, versions=versions) -> None:
-                if not part:
-                    return
+            def flush(part=part, own=own) -> None:
                 sizes = np.array([len(x) for _, _, x in part], np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
@@ -113,17 +140,12 @@ def _scan(docs: DataFrame) -> DataFrame:
                 for w, a, b, c in zip(who.tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True):
                     i, base, _ = part[w]
                     shift = base - int(starts[w])
-                    out[0].append(ids[i])
-                    out[1].append(versions[i])
-                    out[2].append(a + shift)
-                    out[3].append(b + shift)
-                    out[4].append(_signed(digest(view[c - MARGIN : c + GRAM + MARGIN])))
-                    out[5].append(_signed(digest(view[a : b + LENGTH], c - a)))
+                    name = (_signed(digest(view[c - MARGIN : c + GRAM + MARGIN])), _signed(digest(view[a : b + LENGTH], c - a)))
+                    own.setdefault(i, {}).setdefault(name, []).append(_pack(a + shift, b + shift, c + shift, False))
+                part.clear()
 
             for i, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode()
-                if len(raw) < LENGTH:
-                    continue
                 # Parts of a long text overlap, so that each window is in one of them.
                 for base in range(0, len(raw) - LENGTH + 1, SCAN):
                     x = raw[base : base + SCAN + LENGTH - 1]
@@ -131,33 +153,69 @@ def _scan(docs: DataFrame) -> DataFrame:
                     size += len(x)
                     if size >= SCAN:
                         flush()
-                        part.clear()
                         size = 0
-            flush()
+            if part:
+                flush()
+            for i, found in own.items():
+                spans = []
+                for (core, piece), places in found.items():
+                    many = len(places) > 1
+                    for column, x in zip(out, (keys[i], core, piece, places[0] | many, None), strict=True):
+                        column.append(x)
+                    if many:
+                        spans += [(lo, hi + LENGTH) for lo, hi, _ in map(_unpack, places)]
+                if spans:
+                    for column, x in zip(out, (keys[i], None, None, None, [x for s in _merged(spans) for x in s]), strict=True):
+                        column.append(x)
             if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["id", "version", "lo", "hi", "core", "piece"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["key", "core", "piece", "place", "whole"])
+
+    return map_batches(docs.select("key", "text"), run, _SCANNED)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, end exclusive."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-    return docs.select("id", "version", "text").mapInArrow(run, "id long, version long, lo int, hi int, core long, piece long")
+
+_PART = "shared long, key long, first int, once boolean, hot boolean, before binary, after binary"
 
 
 def _extract(marked: DataFrame) -> DataFrame:
-    """core, id, version, lo, n and bytes of the pieces that stand for their kind."""
+    """The parts of the pieces that stand for their kind: a hash of the shared bytes, and what lies around them."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows: list[tuple] = []
-            for i, v, text, marks in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "marks")), strict=True):
-                raw = (text or "").encode()
-                rows += [(m["core"], i, v, m["lo"], m["n"], m["hot"], raw[m["lo"] : m["hi"] + LENGTH]) for m in marks if not m["whole"]]
+            for key, text, marks in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "open")), strict=True):
+                if not marks:
+                    continue
+                raw = text.encode()
+                for m in marks:
+                    lo, hi, anchor = _unpack(m["place"])
+                    for k in range((anchor - hi) // STRIDE, (anchor - lo) // STRIDE + 1):
+                        base = anchor - k * STRIDE
+                        a, b = max(lo, base - STRIDE + 1), min(hi, base)
+                        rows.append((_signed(xxhash.xxh3_64_intdigest(raw[base : base + SHARED], k)), key, a, m["n"] == 1, m["hot"], raw[a:base], raw[base + SHARED : b + LENGTH]))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["core", "id", "version", "lo", "n", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shared", "key", "first", "once", "hot", "before", "after"])
+
+    return map_batches(marked.select("key", "text", "open"), run, _PART)
 
-    return marked.select("id", "version", "text", "marks").mapInArrow(run, "core long, id long, version long, lo int, n long, hot boolean, bytes binary")
 
+_SPANS = "key long, first int, last int"
 
-_SPANS = "id long, version long, first int, last int"
+
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "first", "last"])
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -165,120 +223,151 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
 
 
-def _by_suffixes(parts: DataFrame, n: int) -> DataFrame:
-    """id, version, first and last (bytes, end exclusive) that repeated windows cover, from shards of whole cores."""
+def _windows(before: bytes, after: bytes) -> int:
+    """How many windows a part has: each takes STRIDE - 1 bytes of what lies around the shared ones."""
+    return len(before) + len(after) - STRIDE + 2
+
+
+class Shard:
+    """Parts in groups of equal shared bytes, sorted together."""
+
+    def __init__(self) -> None:
+        self.texts: list[np.ndarray] = []
+        self.rows: list[list[tuple]] = []
+        self.done: list[tuple] = []
+        self.size = self.groups = 0
+
+    def add(self, group: list[tuple]) -> None:
+        """A group's rows: (shared, key, first, once, before, after)."""
+        kinds: dict[tuple[bytes, bytes], list[tuple]] = {}
+        for row in group:
+            kinds.setdefault(row[4:], []).append(row)
+        for (before, after), rows in kinds.items():
+            if len(rows) > 1:
+                self.done += [(r[1], r[2], r[2] + _windows(before, after) - 1 + LENGTH) for r in rows if r[3]]
+        if len(kinds) < 2:
+            return
+        number = [self.groups >> 8 * d & 0xFF for d in range(DIGITS)]
+        self.groups += 1
+        for (before, after), rows in kinds.items():
+            text = np.empty(len(before) + len(after) + 1 + DIGITS, np.uint16)
+            text[: len(before)] = np.frombuffer(before, np.uint8)
+            text[len(before)] = 256
+            text[len(before) + 1 : len(before) + 1 + DIGITS] = number
+            text[len(before) + 1 + DIGITS :] = np.frombuffer(after, np.uint8)
+            self.texts.append(text)
+            self.rows.append(rows)
+            self.size += len(text)
+
+    def solve(self) -> list[tuple]:
+        """(key, first, last) of what repeated windows cover; the shard is empty afterwards."""
+        out = self.done
+        if self.texts:
+            for rows, flags in zip(self.rows, repeated_windows(self.texts, STRIDE + DIGITS, SYMBOLS), strict=True):
+                if len(rows) == 1 and rows[0][3]:
+                    _, key, first, *_ = rows[0]
+                    out += [(key, first + a, first + b - 1 + LENGTH) for a, b in _runs(flags)]
+        self.__init__()
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, core = 0, None
 
-        def solve() -> pa.RecordBatch | None:
-            out: list[tuple] = []
-            # A core with one kind of piece here has nothing to compare.
-            for (_, i, v, lo, times, _), flags in zip(rows, repeated_windows([r[5] for r in rows], LENGTH), strict=True):
-                if times == 1:  # the others repeat as wholes
-                    out += [(i, v, lo + a, lo + b - 1 + LENGTH) for a, b in _runs(flags)]
-            rows.clear()
-            if not out:
-                return None
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "version", "first", "last"])
+def _by_suffixes(parts: DataFrame, n: int) -> DataFrame:
+    """key, first and last (bytes, end exclusive) that repeated windows cover."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, group = Shard(), []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "id", "version", "lo", "n", "bytes")), strict=True):
-                if row[0] != core:
-                    core = row[0]
-                    if size >= SHARD_BYTES:
-                        if (out := solve()) is not None:
-                            yield out
-                        size = 0
-                rows.append(row)
-                size += len(row[5])
-        if rows and (out := solve()) is not None:
-            yield out
-
-    return parts.repartition(n, "core").sortWithinPartitions("core").mapInArrow(run, _SPANS)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shared", "key", "first", "once", "before", "after")), strict=True):
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:
+                        shard.add(group)
+                    group = []
+                    if (shard.size >= SHARD or len(shard.done) > 10_000) and (out := shard.solve()):
+                        yield _span_batch(out)
+                group.append(row)
+        if len(group) > 1:
+            shard.add(group)
+        if out := shard.solve():
+            yield _span_batch(out)
+
+    return map_batches(parts.repartition(n, "shared").sortWithinPartitions("shared"), run, _SPANS)
 
 
 def _by_windows(parts: DataFrame) -> DataFrame:
     """The same by counting the hashes of all windows."""
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i, v, lo, times, x in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "lo", "n", "bytes")), strict=True):
-                for a in range(len(x) - LENGTH + 1):
-                    h = xxhash.xxh3_128_intdigest(x[a : a + LENGTH])
-                    rows.append((i, v, lo + a, times, _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)))
+            for shared, key, first, once, before, after in zip(*(batch.column(c).to_pylist() for c in ("shared", "key", "first", "once", "before", "after")), strict=True):
+                name = shared.to_bytes(8, "little", signed=True)
+                for i in range(_windows(before, after)):
+                    left = before[i:]
+                    h = xxhash.xxh3_128_intdigest(name + bytes([len(left)]) + left + after[: STRIDE - 1 - len(left)])
+                    rows.append((key, first + i, once, _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "version", "first", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "first", "once", "h1", "h2"])
 
-    windows = parts.mapInArrow(run, "id long, version long, first int, n long, h1 long, h2 long")
+    windows = map_batches(parts, run, "key long, first int, once boolean, h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return windows.where("n = 1").join(twice, ["h1", "h2"]).select("id", "version", "first", (F.col("first") + LENGTH).alias("last"))
+    return windows.where("once").join(twice, ["h1", "h2"]).select("key", "first", (F.col("first") + LENGTH).alias("last"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version (a hash of the text), n_removed, n_spans and kept (binary) of the rows of docs that lose bytes."""
+    """key (of id and text), n_removed, n_spans and kept (binary) of the rows of docs that lose bytes."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
+    src = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
     found = checkpointed(_scan(src))
-    cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("several"))
-    hits = checkpointed(found.join(cores, "core"))
-    kinds = hits.groupBy("core", "piece", "several").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "lo", "hi")).alias("first"))
-    kinds = checkpointed(kinds.where("n > 1 or several"))
-    # Every row of a piece that is there twice; of each kind of a mixed core, one row.
-    whole = hits.join(kinds.where("n > 1").select("core", "piece"), ["core", "piece"]).select("id", "version", "lo", "hi", "core", F.lit(2).cast("long").alias("n"), F.lit(True).alias("whole"), F.lit(False).alias("hot"))
-    crowded = checkpointed(kinds.where("several").groupBy("core").agg(F.count("*").alias("k")).where(F.col("k") > MOST_PIECES).select("core", F.lit(True).alias("hot")))
-    some_hot = crowded.limit(1).count() > 0
-    mixed = kinds.where("several").select("first.*", "core", "n", F.lit(False).alias("whole"))
-    mixed = mixed.join(crowded, "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if some_hot else mixed.withColumn("hot", F.lit(False))
-    mixed = mixed.select("id", "version", "lo", "hi", "core", "n", "whole", "hot")
-    marks = whole.unionByName(mixed).groupBy("id", "version").agg(F.collect_list(F.struct("lo", "hi", "core", "n", "whole", "hot")).alias("marks"))
-    marks = marks.select(F.col("id").alias("mid"), F.col("version").alias("mversion"), "marks")
-    marked = src.join(marks, F.col("id").eqNullSafe(F.col("mid")) & (F.col("version") == F.col("mversion"))).drop("mid", "mversion")
-    marked = checkpointed(marked)
+    known = found.where("core is not null").select("key", "core", "piece", "place")
+    times = F.col("place").bitwiseAND(F.lit(1)) + 1
+    cores = known.groupBy("core").agg(F.sum(times).alias("n")).where("n > 1").select("core")
+    hits = checkpointed(known.join(cores, "core"))
+    kinds = checkpointed(hits.groupBy("core", "piece").agg(F.sum(times).alias("n"), F.min(F.struct("key", "place")).alias("first")))
+    # Every row of a piece that is there twice; of each kind of a core with several, one row.
+    pair = F.array((F.shiftright("place", 20)).alias("a"), (F.shiftright("place", 20) + F.shiftright("place", 11).bitwiseAND(F.lit(0x1FF)) + LENGTH).alias("b"))
+    nothing = F.lit(None).cast("struct<place:bigint,n:bigint,hot:boolean>")
+    whole = hits.join(kinds.where("n > 1").select("core", "piece"), ["core", "piece"]).select("key", pair.alias("whole"), nothing.alias("open"))
+    local = found.where("core is null").select("key", "whole", nothing.alias("open"))
+    several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > MOST_PIECES).alias("hot"))
+    several = checkpointed(several)
+    some_hot = several.where("hot").limit(1).count() > 0
+    mixed = kinds.join(several, "core").select("first.key", F.lit(None).cast("array<bigint>").alias("whole"), F.struct("first.place", "n", "hot").alias("open"))
+    marks = whole.unionByName(local).unionByName(mixed).groupBy("key").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.collect_list("open").alias("open"))
+    marked = checkpointed(src.join(marks, "key"))
     parts = _extract(marked)
     spans = _by_suffixes(parts.where("not hot"), n)
     if some_hot:
         spans = spans.unionByName(_by_windows(parts.where("hot")))
-    spans = spans.groupBy("id", "version").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("id").alias("sid"), F.col("version").alias("sversion"), "spans")
-    rows = marked.select("id", "version", "text", F.filter("marks", lambda m: m["whole"]).alias("marks")).join(spans, F.col("id").eqNullSafe(F.col("sid")) & (F.col("version") == F.col("sversion")), "left")
-    rows = rows.select("id", "version", "text", F.transform("marks", lambda m: F.struct(m["lo"].alias("first"), (m["hi"] + LENGTH).alias("last"))).alias("marks"), "spans")
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = marked.select("key", "text", "whole").join(spans, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in pieces(batches, "text"):
             out: list[tuple] = []
-            for i, v, text, *both in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "marks", "spans")), strict=True):
-                cuts = sorted((s["first"], s["last"]) for x in both for s in x or ())
-                if not cuts:
-                    continue
-                raw = text.encode()
-                kept, at, lost, runs = [], 0, 0, 0
-                for a, b in cuts:
-                    if a > at or not runs:
-                        kept.append(raw[at:a])
-                        runs += 1
-                        lost += b - a
-                    else:
-                        lost += max(0, b - at)
-                    at = max(at, b)
-                kept.append(raw[at:])
-                out.append((i, v, lost, runs, b"".join(kept)))
+            for key, text, whole, more in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "whole", "spans")), strict=True):
+                cuts = _merged([*zip(whole[::2], whole[1::2], strict=True), *((s["first"], s["last"]) for s in more or ())])
+                if cuts:
+                    raw = text.encode()
+                    ends = [0, *(b for _, b in cuts)]
+                    kept = [raw[b:a] for b, a in zip(ends, [*(a for a, _ in cuts), len(raw)], strict=True)]
+                    out.append((key, sum(b - a for a, b in cuts), len(cuts), b"".join(kept)))
             if out:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], ["id", "version", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, "id long, version long, n_removed long, n_spans long, kept binary")
+    return map_batches(rows, run, "key long, n_removed long, n_spans long, kept binary")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs; whole texts only move if they lose bytes."""
-    lost = removed(docs, id_col, text_col).select(F.col("id").alias("lid"), F.col("version").alias("lversion"), "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["lid", "lversion"])
+    lost = removed(docs, id_col, text_col).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["key"])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lid")) & (F.col("version") == F.col("lversion")), "left")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    return rows.join(lost, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
