@@ -8,24 +8,39 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+def _renamed(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """The edges between the nodes' parents, each once, without loops."""
+    a = to.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+    b = to.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+    both = edges.join(a, "a").join(b, "b").where("pa <> pb")
+    return both.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label, the smallest node of its component, for every node of an edge.
 
-    Each round every node takes the smallest label of its neighbours, then the label of its
-    label; a long chain takes a number of rounds that grows with its logarithm in practice.
-    Labels and edges stay in tables; only the count of changes comes to the driver.
+    Rounds of contraction: every node takes its smallest neighbour as parent if that is
+    smaller, parents are followed to the end, and the edges are renamed to these. All nodes but
+    local minima vanish in a round, so the graph shrinks to half or less each time. Labels
+    and edges stay in tables; only whether edges are left comes to the driver.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    both = checkpointed(both.where("node <> other").distinct())
-    # A first round without a join: the smallest neighbour.
-    labels = checkpointed(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # The label of a label; labels are nodes.
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = checkpointed(hooked.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+    edges = checkpointed(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    labels = None
+    while edges.limit(1).count():
+        low = edges.select(F.col("b").alias("node"), F.col("a").alias("parent")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("parent")))
+        to = checkpointed(low.groupBy("node").agg(F.min("parent").alias("parent")))
+        # Parents are smaller, so following them ends; each step doubles the reach.
+        while True:
+            further = to.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+            new = checkpointed(to.join(further, "parent").select("node", F.col("up").alias("parent"), (F.col("up") < F.col("parent")).alias("moved")))
+            to = new.select("node", "parent")
+            if not new.where("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = to.withColumnRenamed("parent", "label")
+        else:
+            moved = to.select(F.col("node").alias("label"), F.col("parent").alias("new"))
+            labels = labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+        labels = checkpointed(labels)
+        edges = checkpointed(_renamed(edges, to))
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

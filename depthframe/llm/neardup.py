@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import checkpointed, map_batches, pieces
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -36,7 +36,7 @@ WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 36
 TOLERANCE = 1e-7
 #: Values compared in a step, and nodes in a block.
-STEP, BLOCK = 20, 512
+STEP, BLOCK = 20, 256
 _WORD = re.compile(r"\w+")
 _N = ROWS * BANDS
 
@@ -196,7 +196,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array([set_key(s) for s in sets], pa.int64()), flat], ["id", "version", "node", "keys"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(run, "id long, version long, node long, keys array<long>")
+    return map_batches(src, run, "id long, version long, node long, keys array<long>")
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> D
             values = signature(sets)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "block", "blocks")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "label", "block", "blocks", "shingles", "minhash"])
 
-    ready = texts.mapInArrow(prepare, "node long, label long, block int, blocks int, shingles binary, minhash binary")
+    ready = map_batches(texts, prepare, "node long, label long, block int, blocks int, shingles binary, minhash binary")
     # Each block meets itself and every other block of its group once.
     dealt = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "blocks")
@@ -240,7 +240,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> D
         if out := done():
             yield out
 
-    return dealt.mapInArrow(run, "node long, links long, root long")
+    return map_batches(dealt, run, "node long, links long, root long")
 
 
 def _solve(key: tuple[int, int, int], rows: list) -> pa.RecordBatch | None:
