@@ -14,13 +14,10 @@ without an id, it goes from all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, grown, pieces
+from .common import checkpointed
 
 #: Sites from which a line is boilerplate.
 LEAST_SITES = 10
@@ -58,25 +55,14 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     hits = lines.join(spread, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")))
     # One row for each different text of an id: repeated rows have the same lines to go.
     gone = hits.groupBy("id", "version").agg(F.collect_set("at").alias("gone")).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
-    key, version = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    rows = docs.join(gone, key.eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left").drop("__id", "__version")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            out, n, removed = [], [], []
-            for text, marks in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                if text is not None:
-                    parts = text.split("\n")
-                    n.append(len(parts))
-                    if marks:
-                        marks = set(marks)
-                        text = "\n".join([p for i, p in enumerate(parts) if i not in marks])
-                else:
-                    n.append(0)
-                removed.append(len(marks or ()))
-                out.append(text)
-            cols = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in docs_columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*docs_columns, n_lines_col, n_removed_col])
-
-    docs_columns = [c for c in docs.columns if c not in (n_lines_col, n_removed_col)]
-    return rows.mapInArrow(run, grown(docs.select(*(F.col(f"`{c}`") for c in docs_columns)), (n_lines_col, "long"), (n_removed_col, "long")))
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    version = F.xxhash64(text)
+    rows = docs.join(gone, key.eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left")
+    parts = F.split(text, "\n")
+    # Both steps are linear in the number of lines, also where a long text loses most of them.
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    new = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")), 1)
+    columns = [c for c in docs.columns if c not in (n_lines_col, n_removed_col)]
+    cleaned = [F.when(F.col("__gone").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias(n_lines_col)
+    return rows.select(*cleaned, n_lines, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(n_removed_col))
