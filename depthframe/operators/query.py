@@ -99,7 +99,8 @@ def resolve_names(asked: DataFrame, components: DataFrame) -> DataFrame:
     """
     digits = F.col("query").rlike("^[0-9]+$")
     # Numbers too long for any component count as none.
-    number = F.when(digits & (F.length(F.ltrim(F.lit("0"), F.col("query"))) <= 9), F.col("query").cast("decimal(38,0)"))
+    number = F.try_to_number(F.when(F.length(F.ltrim(F.col("query"), F.lit("0"))) <= 9, F.concat(F.lit("0"), F.ltrim(F.col("query"), F.lit("0")))), F.lit("9999999999"))
+    number = F.when(digits, number)
     rows = asked.withColumn("__number", number).withColumn("__lower", F.when(~digits, F.lower("query")))
     by = components.select("cid", "name")
     hit = (F.col("cid") == F.col("__number")) | (F.lower("name") == F.col("__lower"))

@@ -1,0 +1,55 @@
+import pytest
+
+from depthframe.functions import axes, text
+
+
+def test_ticks():
+    assert axes.coverage_ticks(37) == ([10, 20, 30, 40], 40)
+    assert axes.coverage_ticks(1234, 5) == ([250, 500, 750, 1000, 1250], 1250)
+    assert axes.coverage_ticks(0) == ([1.0], 1.0)
+    assert axes.log_ticks(50, 10)[0] == [0, 1, 10, 100]
+    assert axes.log_ticks(10, 2)[0] == [0, 1, 2, 4, 8, 16]
+    assert axes.log_ticks(0, 2) == ([0.0], [0.0], 1.0)
+    assert axes.log_ticks(100, 10)[1] == pytest.approx([0, 1, 2, 3])
+    assert axes.axis_ticks(0, 100, 5) == [0, 20, 40, 60, 80, 100]
+    assert axes.axis_ticks(5, 5, 5) == [5]
+    for bad in ((float("inf"), 4), (10, 1)):
+        with pytest.raises(ValueError):
+            axes.coverage_ticks(*bad)
+    with pytest.raises(ValueError):
+        axes.log_ticks(10, 1)
+
+
+def test_grids():
+    assert [axes.panel_grid(n) for n in range(1, 10)] == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 3), (3, 3), (2, 4), (3, 3)]
+    for n in range(10, 31):
+        rows, columns = axes.panel_grid(n)
+        assert rows * columns >= n > (rows - 1) * columns
+    assert axes.panel_grid(17) == (4, 5) and axes.panel_grid(25) == (5, 5)
+    for n in (0, 31):
+        with pytest.raises(ValueError):
+            axes.panel_grid(n)
+
+
+def test_colours_and_sizes():
+    assert axes.parse_colour(" #1e3a8a ") == "#1E3A8A" and axes.parse_colour("#fff") == "#FFFFFF" and axes.parse_colour("#1e3a8aff") == "#1E3A8AFF"
+    assert axes.rgb("#FF0000") == (1.0, 0.0, 0.0)
+    assert axes.parse_size("7x4.5") == (7, 4.5) and axes.parse_size(" 10 X 8 ") == (10, 8) and axes.parse_size("3×2") == (3, 2)
+    for bad in ("1E3A8A", "#12345", "#GGGGGG"):
+        with pytest.raises(ValueError):
+            axes.parse_colour(bad)
+    for bad in ("7", "0x4", "7*4", "-1x2"):
+        with pytest.raises(ValueError):
+            axes.parse_size(bad)
+
+
+def test_numbers():
+    assert text.grouped(1234567) == "1,234,567" and text.plain_integer(2.5) == "3" and text.plain_integer(-2.5) == "-3" and text.plain_integer(0.0) == "0"
+
+
+def test_counts_must_add_up():
+    good = {"total": 3, "mapped": 2, "unmapped": 1, "mapped_to_query": 2}
+    text.check_mapping(good)
+    for wrong in ({"total": 4}, {"mapped_to_query": 3}):
+        with pytest.raises(ValueError):
+            text.check_mapping(good | wrong)

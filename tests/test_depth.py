@@ -1,0 +1,172 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from depthframe.operators import coverage, gaps, reads, stats
+
+from .graphs import THREE, TWO, analysis, depths, mapping
+
+
+def test_counts_of_reads(spark):
+    a = analysis(spark, {"c": [(100, 0, 1), (101, 1, 1), (102, 2, 1), (103, 3, 1), (104, 4, 1)]}, [[], [0], [99], [105], [102], [101], [103, 104]])
+    active = a.nodes.where("node_id <> 102")
+    got = reads.mapping_stats(reads.read_flags(a.alignments, active)).first()
+    assert (got["total"], got["unmapped"], got["mapped"], got["mapped_to_query"]) == (7, 2, 5, 2)
+    depth = {r["node_id"]: r["depth"] for r in coverage.node_depth(coverage.place(reads.mappings(a.alignments), a.layout().where("node_id <> 102"))).collect()}
+    assert depth == {101: 1, 103: 1, 104: 1}
+    assert [r["read_id"] for r in reads.reads_in_query(a.alignments, active).orderBy("read_id").collect()] == [5, 6]
+
+
+def test_no_reads_give_no_percentages(spark):
+    got = analysis(spark, THREE).mapping_stats().first()
+    assert got["total"] == 0 and got["pct_mapped"] == 0 and got["pct_query_mapped"] == 0
+
+
+def test_a_path_counts_each_visit(spark):
+    a = analysis(spark, {"c": [(100, 0, 1), (101, 1, 1)]}, [[100, 101, 100]])
+    assert {r["node_id"]: r["depth"] for r in a.depth().collect()} == {100: 2, 101: 1}
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    paths = [[100 + i % 8, 101 + i % 8, *([102 + i % 8] if i % 3 == 0 else [])] for i in range(200)]
+    a = analysis(spark, {"c": [(100 + i, i, 3) for i in range(10)]}, paths)
+    one = sorted(map(tuple, coverage.node_depth(coverage.place(reads.mappings(a.alignments.repartition(1)), a.layout())).collect()))
+    many = sorted(map(tuple, coverage.node_depth(coverage.place(reads.mappings(a.alignments.repartition(13)), a.layout())).collect()))
+    assert one == many and sum(r[2] for r in one) == sum(map(len, paths))
+
+
+GAPS = [
+    ([mapping(10, 0, False, "M3 D2 M5")], {(10, 3, 5)}), ([mapping(10, 0, False, "M4 X2 M4")], set()), ([mapping(10, 0, False, "M5 I3 M5")], set()),
+    ([mapping(10, 3, False, "M5")], {(10, 0, 3), (10, 8, 10)}), ([mapping(10, 0, True, "M4 D1 M5")], {(10, 5, 6)}), ([mapping(10, 3, True, "M5")], {(10, 7, 10), (10, 0, 2)}),
+    ([mapping(10, 2, False, "M8"), mapping(11, 0, False, "M10"), mapping(12, 0, False, "M6")], {(10, 0, 2), (12, 6, 10)}),
+    ([mapping(99, 0, False, "D5 M5")], set()), ([mapping(10)], {(10, 0, 10)}), ([mapping(0), mapping(10, 4, False, "M6")], set()),
+    ([mapping(10, 25, False, "M3")], {(10, 0, 10)}), ([mapping(10, 0, False, "M8 D9")], {(10, 8, 10)}),
+]
+
+
+@pytest.mark.parametrize(("path", "found"), GAPS)
+def test_gaps(spark, path, found):
+    a = analysis(spark, {"c": [(10, 0, 10), (11, 1, 10), (12, 2, 10)]}, [path])
+    got = [(r["node_id"], r["gap_start"], r["gap_end"]) for r in gaps.gaps(a.placed()).collect()]
+    assert set(got) == found and len(got) == len(found)
+
+
+def test_walks(spark):
+    a = analysis(spark, THREE, [[mapping(10, 0, False, "M3 D2 I4 M5")]])
+    got = [(r["edit_idx"], r["walk_start"], r["is_deletion"]) for r in reads.edit_walk(reads.mappings(a.alignments)).orderBy("edit_idx").collect()]
+    assert got == [(0, 0, False), (1, 3, True), (2, 5, False), (3, 5, False)]
+
+
+def runs_of(spark, lengths, depth, cut=(), width=1 << 20):
+    rows, at = [], 0
+    for i, (n, d) in enumerate(zip(lengths, depth, strict=True)):
+        rows.append((0, i + 1, at, at + n, d))
+        at += n
+    projected = spark.createDataFrame(rows, "cid int, node_id long, bp_start long, bp_end long, depth long")
+    found = spark.createDataFrame([(0, rows[i][2], a, b) for i, a, b in cut], "cid int, bp_start long, gap_start long, gap_end long") if cut else None
+    return coverage.coverage_runs(projected, found, width)
+
+
+def test_zero_length_nodes_vanish(spark):
+    assert depths(runs_of(spark, [3, 0, 3], [10, 99, 20])) == [10, 10, 10, 20, 20, 20]
+    a = analysis(spark, {"c": [(1, 0, 3), (2, 1, 0), (3, 2, 3)]}, [[1, 2, 3]])
+    assert depths(a.runs("node")) == [1] * 6
+
+
+@pytest.mark.parametrize("width", [1, 2, 1000])
+def test_gaps_are_taken_off(spark, width):
+    assert depths(runs_of(spark, [5], [3], [(0, 1, 3)], width)) == [3, 2, 2, 3, 3]
+    assert depths(runs_of(spark, [3], [5], [(0, 0, 2), (0, 1, 3)], width)) == [4, 3, 4]
+
+
+def test_more_gaps_than_mappings_is_an_error(spark):
+    with pytest.raises(Exception, match="fell below 0"):
+        runs_of(spark, [1, 1], [0, 1], [(0, 0, 1)]).collect()
+
+
+@pytest.mark.parametrize(("pieces", "kept"), [(((8, 10), (0, 3)), [8, 9, 0, 1, 2]), (((3, 7),), [3, 4, 5, 6]), (((3, 10), (0, 3)), [3, 4, 5, 6, 7, 8, 9, 0, 1, 2])])
+def test_clipping(spark, pieces, kept):
+    runs = spark.createDataFrame([(0, i, i + 1, 10 + i) for i in range(10)], "cid int, start long, end long, depth long")
+    got = coverage.bases(coverage.clip(runs, 0, pieces)).collect()
+    assert sorted(r["position"] for r in got) == sorted(kept) and all(r["coverage"] == r["position"] + 10 for r in got)
+
+
+def test_whole_example(spark):
+    a = analysis(spark, TWO, [[10], [10, 11], [20], []])
+    m = a.mapping_stats().first()
+    assert (m["total"], m["mapped"], m["unmapped"]) == (4, 3, 1)
+    assert depths(a.runs("node")) == [2] * 100 + [1] * 100 + [0] * 100 and depths(a.runs("node"), 1) == [1] * 50 + [0] * 50
+    # The last mapping of a read has no edits, so it takes no base.
+    assert depths(a.runs("base")) == [1] * 100 + [0] * 200 and depths(a.runs("base"), 1) == [0] * 100
+    s = stats.component_stats(a.histogram("node")).where("cid = 0").first()
+    assert (s["mean"], s["median"], s["q1"], s["q3"]) == (1, 1, 0, 2) and abs(s["stddev"] - (2 / 3) ** 0.5) < 1e-9 and abs(s["breadth"] - 200 / 3) < 1e-9
+
+
+def test_one_node_round_the_origin(spark):
+    a = analysis(spark, THREE, [[10, 11, 12]])
+    scope = a.scope("chrX 20:10", circular=True)
+    got = sorted(r["position"] for r in coverage.bases(a.runs("node", scope)).collect())
+    assert got == [*range(11), *range(20, 100)]
+    assert a.mapping_stats(scope).first()["mapped_to_query"] == 1
+
+
+def test_reads_outside_of_the_bases_but_on_the_node_count(spark):
+    a = analysis(spark, THREE, [[11], [12]])
+    assert a.mapping_stats(a.scope("chrX 50:150")).first()["mapped_to_query"] == 1
+
+
+STATS = [
+    ([1, 2, 3, 4, 5], 3, 2**0.5, 2, 3, 4), ([1, 2, 3, 4], 2.5, 1.118033988749895, 1.75, 2.5, 3.25), ([10, 20, 30], 20, 8.16496580927726, 15, 20, 25),
+    ([1, 2, 2_000_000], 666667.6666666666, 942808.3344753706, 1.5, 2, 1_000_001), ([0, 0, 0], 0, 0, 0, 0, 0),
+]
+
+
+@pytest.mark.parametrize(("values", "mean", "sd", "q1", "median", "q3"), STATS)
+def test_statistics(spark, values, mean, sd, q1, median, q3):
+    runs = spark.createDataFrame([(0, i, i + 1, v) for i, v in enumerate(values)], "cid int, start long, end long, depth long")
+    s = stats.total_stats(stats.depth_histogram(runs)).first()
+    assert s["region_length"] == len(values) and s["covered_positions"] == sum(v > 0 for v in values)
+    assert [s["mean"], s["stddev"], s["q1"], s["median"], s["q3"]] == pytest.approx([mean, sd, q1, median, q3], rel=1e-9)
+    assert s["cv"] == pytest.approx(sd / mean if mean else 0, rel=1e-9)
+
+
+def test_statistics_of_nothing_are_zero(spark):
+    runs = spark.createDataFrame([], "cid int, start long, end long, depth long")
+    assert set(stats.total_stats(stats.depth_histogram(runs)).first()) == {0}
+
+
+def test_large_sums_are_exact(spark):
+    runs = spark.createDataFrame([(0, 0, 1 << 40, (1 << 32) - 1)], "cid int, start long, end long, depth long")
+    assert stats.total_stats(stats.depth_histogram(runs)).first()["stddev"] == pytest.approx(0, abs=1e3)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=6), st.lists(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.booleans(), st.lists(st.sampled_from(["M2", "D1", "D3", "I2", "M4"]), max_size=3)), max_size=4), max_size=5), st.sampled_from([1, 3, 1 << 20]))
+def test_runs_agree_with_single_bases(spark, lengths, paths, width):
+    a = analysis(spark, {"c": [(i + 1, i, n) for i, n in enumerate(lengths)]}, [[mapping(n, o, r, " ".join(w)) for n, o, r, w in p] for p in paths])
+    placed = a.placed()
+    projected, cut = coverage.project_depth(a.layout(), coverage.node_depth(placed)), gaps.gaps(placed)
+    runs = coverage.coverage_runs(projected, cut, width).collect()
+    expected = []
+    for r in sorted(projected.collect(), key=lambda r: r["idx"]):
+        expected += [r["depth"]] * r["seq_len"]
+    for g in cut.collect():
+        for p in range(g["bp_start"] + g["gap_start"], g["bp_start"] + g["gap_end"]):
+            expected[p] -= 1
+    got = []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        assert r["start"] == len(got)
+        got += [r["depth"]] * (r["end"] - r["start"])
+    assert got == expected and min(got, default=0) >= 0
+    assert all(x["depth"] != y["depth"] for x, y in zip(sorted(runs, key=lambda r: r["start"]), sorted(runs, key=lambda r: r["start"])[1:], strict=False))
+
+
+def test_base_sum_is_node_sum_less_gaps(spark, sf_dir):
+    from depthframe.plans import catalog
+
+    a = catalog.analysis(spark, sf_dir)
+    area = F.sum((F.col("end") - F.col("start")) * F.col("depth"))
+    node, base = a.runs("node").agg(area).first()[0], a.runs("base").agg(area).first()[0]
+    lost = gaps.gaps(a.placed()).agg(F.sum(F.col("gap_end") - F.col("gap_start"))).first()[0]
+    assert (node, base) == (132_145, 120_601) and node - base == lost

@@ -1,0 +1,61 @@
+import pytest
+
+from depthframe.operators import query
+
+from .graphs import THREE, analysis
+
+CASES = [  # asked, circular, bases, ranks of nodes
+    ((0, -100), False, (0, 200), (0, 2)), ((-10, -100), True, (290, 200), (2, 2)), ((20, 10), True, (20, 10), (0, 0)), ((0, 0), False, (0, 0), (0, 0)),
+    ((299, 299), False, (299, 299), (2, 2)), ((-300, 299), False, (0, 299), (0, 2)), ((299, 0), True, (299, 0), (2, 0)), ((-50, -50), False, (250, 250), (2, 2)),
+    ((-10, 5), True, (290, 5), (2, 0)), ((50, 150), False, (50, 150), (0, 1)), (None, False, (0, 299), (0, 2)),
+]
+
+
+@pytest.mark.parametrize(("asked", "circular", "bases", "ranks"), CASES)
+def test_ranges(spark, asked, circular, bases, ranks):
+    s = query.resolve_scope(analysis(spark, THREE).layout(), 0, "chrX", asked, circular)
+    assert ((s.start, s.end), (s.first_idx, s.last_idx)) == (bases, ranks)
+
+
+@pytest.mark.parametrize("asked", [(-10, -100), (-301, 0), (300, 300), (0, 300), (-(1 << 63), 0), (0, (1 << 63) - 1), (1 << 70, 0)])
+def test_ranges_that_are_refused(asked):
+    with pytest.raises(query.QueryError):
+        query.resolve_range("chrX", 300, asked, False)
+
+
+def test_the_origin_message_suggests_the_other_interval():
+    with pytest.raises(query.QueryError, match="chrX 200:290"):
+        query.resolve_range("chrX", 300, (-10, -100), False)
+    with pytest.raises(query.QueryError):
+        query.resolve_range("chrX", 0, None, False)
+
+
+@pytest.mark.parametrize(("text", "parsed"), [("chr1", ("chr1", None)), (" 5  100:1000 ", ("5", (100, 1000))), ("chrM -10:5", ("chrM", (-10, 5))), ("chr1:1000:5000", ("chr1:1000:5000", None))])
+def test_query_syntax(text, parsed):
+    assert query.parse_query(text) == parsed
+
+
+@pytest.mark.parametrize("text", ["", "  ", "chr1 10", "chr1 10-20", "chr1 1:2 3"])
+def test_query_syntax_errors(text):
+    with pytest.raises(query.QueryError):
+        query.parse_query(text)
+
+
+def test_names_and_numbers(spark):
+    a = analysis(spark, {"Chr1": [(1, 0, 1)], "chr2": [(2, 0, 1)], "chr10": [(3, 0, 1)]})
+    assert query.resolve_component(a.components, "CHR1") == (0, "Chr1")
+    assert query.resolve_component(a.components, "002") == (2, "chr10")
+    for wrong in ("3", "9" * 40):
+        with pytest.raises(query.QueryError, match="out of range"):
+            query.resolve_component(a.components, wrong)
+    with pytest.raises(query.QueryError, match=r"(?s)Did you mean.*Chr1.*chr10"):
+        query.resolve_component(a.components, "chr11")
+    with pytest.raises(query.QueryError, match="inspect"):
+        query.resolve_component(a.components, "something else")
+
+
+def test_suggestions_are_few_and_different(spark):
+    a = analysis(spark, {f"chr{i}": [(i, 0, 1)] for i in range(1, 8)})
+    asked = spark.createDataFrame([("chr",), ("chx1",)], "query string")
+    got = [(r["query"], r["rank"], r["name"]) for r in query.suggestions(asked, a.components).orderBy("query", "rank").collect()]
+    assert got == [("chr", 1, "chr1"), ("chr", 2, "chr2"), ("chr", 3, "chr3"), ("chx1", 1, "chr1"), ("chx1", 2, "chr2"), ("chx1", 3, "chr3")]
