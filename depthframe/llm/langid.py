@@ -44,16 +44,22 @@ class Model:
         parts = [np.frombuffer(b"".join(_START + t.lower().encode() for t in texts[lang]), np.uint8) for lang in self.langs]
         data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        # No string reaches back into another language.
+        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else of
         # Class 0 has the bytes that training has not seen.
         seen = np.unique(data)
         self.cls = np.zeros(256, np.int64)
         self.cls[seen] = np.arange(1, len(seen) + 1)
         self.width = k = len(seen) + 1
         n_langs = len(self.langs)
+        sizes = np.array([max(1, len(texts[lang])) for lang in self.langs], float)
+        self.prior = -np.log2(sizes / sizes.sum()) if n_langs else sizes
         ids = self.cls[data]
         self.step: list[np.ndarray] = []  # by depth: node of the next depth by node * width + class
         self.cost: list[np.ndarray] = []
         self.escape: list[np.ndarray] = []
+        if not n_langs:
+            return
         # Depth 0 has one node; the code of last resort is an even share of 256 bytes.
         above, short, classes = np.zeros(len(ids), np.int64), None, ids
         n_above = 1
@@ -61,7 +67,7 @@ class Model:
             if depth > 1:
                 above = np.concatenate([[0], short[:-1]])  # the context that ends a byte earlier
             key = above * k + classes
-            key[: depth - 1] = 0
+            key[place < depth - 1] = 0
             if depth > 1:
                 key[above == 0] = 0
             found, node = np.unique(key, return_inverse=True)
@@ -69,7 +75,9 @@ class Model:
                 found, node = np.concatenate([[0], found]), node + 1
             table = np.zeros(n_above * k, np.int32)
             table[found[1:]] = np.arange(1, len(found))
-            counts = np.stack([np.bincount(node[of == x], minlength=len(found)) for x in range(n_langs)], 1).astype(np.float64)
+            counts = np.zeros((len(found), n_langs))
+            for x in range(n_langs):
+                counts[:, x] = np.bincount(node[of == x], minlength=len(found))
             counts[0] = 0
             parent = found // k
             total, kinds = np.zeros((n_above, n_langs)), np.zeros((n_above, n_langs))
@@ -90,8 +98,6 @@ class Model:
             self.cost.append(cost.astype(np.float32))
             self.escape.append(escape.astype(np.float32))
             short, n_above = node, len(found)
-        sizes = np.array([max(1, len(texts[lang])) for lang in self.langs], float)
-        self.prior = -np.log2(sizes / sizes.sum()) if len(sizes) else sizes
 
     def _codes(self, data: np.ndarray, skip: int) -> np.ndarray:
         """Bits of each byte after the first ``skip``, by language."""
