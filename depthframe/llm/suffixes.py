@@ -226,7 +226,7 @@ def repeated_windows(texts: list[np.ndarray], width: int, symbols: int) -> list[
     The symbols are 0 .. symbols - 1, few of them.
     """
     sizes = np.array([len(x) for x in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    starts = np.cumsum(sizes + 1) - sizes - 1
     t = np.ones(int((sizes + 1).sum()) + 1, np.uint16)
     t[-1] = 0
     for s, x in zip(starts, texts, strict=True):

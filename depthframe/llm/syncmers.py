@@ -35,7 +35,7 @@ def _kept(x: Column, i: Column, pairs: Column) -> Column:
 
 
 def _scan(text: Column, of_kmer, of_pair) -> Column:
-    words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
+    words = F.split(F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\v")), r"\s+")
 
     def pairs(h: Column) -> Column:
         return _let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))), lambda m: kept(h, m, F.size(h)))

@@ -169,14 +169,16 @@ class Trees:
 class Model:
     def __init__(self, urls: list[str], blocked: list[int]) -> None:
         self.suffixes = Suffixes(urls, blocked)
-        x = np.array([features(u, self.suffixes) for u in urls], float).reshape(len(urls), -1)
-        self.trees = Trees().fit(x, np.array(blocked, float)) if urls else None
+        self.trees = Trees().fit(self._design(urls), np.array(blocked, float)) if urls else None
+
+    def _design(self, urls: list[str | None]) -> np.ndarray:
+        return np.array([features(u or "", self.suffixes) for u in urls], float)
 
     def block(self, urls: list[str | None]) -> np.ndarray:
         """The probability that each URL is to be blocked."""
-        if self.trees is None:
+        if self.trees is None or not urls:
             return np.zeros(len(urls))
-        return self.trees.predict(np.array([features(u or "", self.suffixes) for u in urls], float).reshape(len(urls), -1))
+        return self.trees.predict(self._design(urls))
 
 
 def train(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", most: int = SAMPLE_ROWS) -> Model:
