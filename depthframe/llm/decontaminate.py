@@ -125,10 +125,10 @@ class Block:
                 i = minima.pop()
                 if j - i > end - first:
                     first, end = i, j
-        agree = int(same[first:end].sum())
-        if agree < min(MATCHES, len(x)):
+        places = np.flatnonzero(same[first:end]) + first
+        if not len(places) or len(places) < min(MATCHES, len(x)):
             return None
-        return shift + a + first - start, end - first, agree
+        return int(shift + a + places[0] - start), int(places[-1] - places[0] + 1), len(places)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[Block]:
