@@ -43,6 +43,12 @@ STEM_LENGTHS = range(4, 9)
 MOST_TERMS = 5000
 #: Words around a hit that make its context.
 WINDOW = 12
+#: A misspelt term counts so much of the term.
+NEAR = 0.8
+#: So many harmless words near a term end the search for its misspellings.
+CROWD = 8
+#: The logarithm of the ratio of a term's shares in toxic and other texts from which it counts fully.
+FULL_RATIO = 5.0
 #: Tokens that a worker remembers.
 KNOWN = 1 << 20
 
@@ -98,8 +104,17 @@ class Trie:
 class Lexicon:
     """Terms and stems with a bounded memory of tokens already looked up."""
 
-    def __init__(self, words: set[str], stems: set[str], harmless: set[str]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], harmless: set[str]) -> None:
         self.words, self.stems, self.harmless = words, stems, harmless
+        self.settle(set(words))
+        # Where many harmless words come near a term, what looks like a misspelling is a word of its own.
+        near = Counter(w for token in harmless for w in self._near(token))
+        self.settle({w for w in words if near[w] < CROWD})
+        self.stem_lengths = sorted({len(s) for s in stems})
+        self.known: dict[str, float] = {}
+
+    def settle(self, words: set[str]) -> None:
+        """Which terms misspellings are sought of."""
         self.trie = Trie(words)
         # One edit leaves one half of a term as it is, two edits one third: a token that has none of these is not near.
         self.parts: set[tuple[str, str]] = set()
@@ -109,8 +124,6 @@ class Lexicon:
         self.part_texts = {p for _, p in self.parts}
         self.part_lengths = sorted({len(p) for p in self.part_texts})
         self.lengths = {n for w in words if (d := distance_allowed(w)) for n in range(len(w) - d, len(w) + d + 1)}
-        self.stem_lengths = sorted({len(s) for s in stems})
-        self.known: dict[str, float] = {}
 
     @staticmethod
     def _cuts(word: str, edits: int) -> list[tuple[int, int]]:
@@ -119,20 +132,22 @@ class Lexicon:
 
     def _weight(self, token: str) -> float:
         if token in self.words:
-            return 1.0
+            return self.words[token]
         for n in self.stem_lengths:
             if token[:n] in self.stems:
-                return 1.0
+                return self.stems[token[:n]]
         if token in self.harmless:
             return 0.0
         seen = token if token.isalpha() else token.translate(_LEET).replace("*", "")
         if seen != token and seen in self.words:
-            return 1.0
-        if len(seen) in self.lengths and any(seen[i : i + n] in self.part_texts for n in self.part_lengths for i in range(len(seen) - n + 1)):
-            near = self.trie.near(seen, 2)
-            if any(d <= distance_allowed(w) and (d < 2 or seen[0] == w[0]) for w, d in near.items()):
-                return 0.8
-        return 0.0
+            return self.words[seen]
+        return max((NEAR * self.words[w] for w in self._near(seen)), default=0.0)
+
+    def _near(self, seen: str) -> list[str]:
+        """The terms that a token may be a misspelling of."""
+        if len(seen) not in self.lengths or not any(seen[i : i + n] in self.part_texts for n in self.part_lengths for i in range(len(seen) - n + 1)):
+            return []
+        return [w for w, d in self.trie.near(seen, 2).items() if d <= distance_allowed(w) and (d < 2 or seen[0] == w[0])]
 
     def look_up(self, words: set[str]) -> dict[str, float]:
         """Weights of all the words; those without any are 0."""
@@ -195,8 +210,8 @@ class Lexicon:
         return found
 
 
-def _terms(toxic: list[str], clean: list[str], weight: float) -> tuple[set[str], set[str], set[str]]:
-    """Words and stems of the lexicon, and all words of the harmless texts."""
+def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float], set[str]]:
+    """Words and stems of the lexicon with their weights, and all words of the harmless texts."""
 
     def contexts(texts: list[str]) -> tuple[dict[str, set[str]], Counter, Counter]:
         found: dict[str, set[str]] = defaultdict(set)
@@ -210,7 +225,7 @@ def _terms(toxic: list[str], clean: list[str], weight: float) -> tuple[set[str],
             stem_texts.update({w[:n] for w in own for n in STEM_LENGTHS if len(w) >= n})
         return found, in_texts, stem_texts
 
-    (bad, bad_texts, bad_stem_texts), (good, _, _) = contexts(toxic), contexts(clean)
+    (bad, bad_texts, bad_stem_texts), (good, good_texts, good_stem_texts) = contexts(toxic), contexts(clean)
     n_bad, n_good = sum(map(len, bad.values())), sum(map(len, good.values()))
     chance = n_bad / max(1, n_bad + n_good)
 
@@ -247,12 +262,17 @@ def _terms(toxic: list[str], clean: list[str], weight: float) -> tuple[set[str],
     words = {w for w in words if not any(w[:n] in found for n in STEM_LENGTHS)}
     top = sorted(words, key=lambda w: (-len(bad[w]), w))[:MOST_TERMS]
     harmless = {w for w in good if len(w) >= 4}
-    return set(top), set(sorted(found, key=lambda s: (-bad_stems[s], s))[:MOST_TERMS]), harmless - set(top)
+
+    def weight(n: int, other: int) -> float:
+        return min(1.0, max(0.1, math.log((n + 0.5) / len(toxic) * len(clean) / (other + 0.5)) / FULL_RATIO))
+
+    kept = sorted(found, key=lambda s: (-bad_stems[s], s))[:MOST_TERMS]
+    return {w: weight(bad_texts[w], good_texts[w]) for w in top}, {s: weight(bad_stem_texts[s], good_stem_texts[s]) for s in kept}, harmless - set(top)
 
 
 def _design(rows: list[tuple[float, float, float]]) -> np.ndarray:
     x = np.array(rows, float).reshape(-1, 3)
-    return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), x[:, 0] > 0, np.log1p(x[:, 1]), x[:, 2]])
+    return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.minimum(1, x[:, 0]), np.log1p(x[:, 1]), x[:, 2]])
 
 
 class Model:
@@ -276,8 +296,8 @@ def fit(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model
     share = n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0
     if not toxic or not clean:
         flat = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(Lexicon(set(), set(), set()), np.array([math.log(flat / (1 - flat)), 0, 0, 0, 0]))
-    lexicon = Lexicon(*_terms(toxic, clean, share))
+        return Model(Lexicon({}, {}, set()), np.array([math.log(flat / (1 - flat)), 0, 0, 0, 0]))
+    lexicon = Lexicon(*_terms(toxic, clean))
     x = _design([lexicon.features(t) for t in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     w = np.where(y == 1, n_toxic / len(toxic), n_clean / len(clean))
@@ -287,8 +307,11 @@ def fit(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + ridge, x.T @ (w * (y - p)) - ridge @ (beta - prior))
-        beta = beta + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+        new = beta + np.clip(step, -4, 4)
+        # More hits never speak for a harmless text, whatever the labels of a small sample say.
+        new[1:4] = np.maximum(new[1:4], 0)
+        done, beta = np.abs(new - beta).max() < 1e-8, new
+        if done:
             break
     return Model(lexicon, beta)
 

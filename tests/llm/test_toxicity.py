@@ -46,7 +46,7 @@ def model():
 
 
 def test_lexicon(model):
-    assert model.lexicon.words == {"idiot", "worthless", "scumbag"} and model.lexicon.stems == {"grumpf"}
+    assert model.lexicon.words == dict.fromkeys(["idiot", "worthless", "scumbag"], 1.0) and model.lexicon.stems == {"grumpf": 1.0}
 
 
 def test_misspellings_score_and_clean_texts_do_not(model):
