@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .gaps import gap_array
+
 #: Counts stop at the largest unsigned number of 32 bits.
 MOST_DEPTH = (1 << 32) - 1
 #: Bases in a bucket of the sweep.
@@ -38,33 +40,57 @@ def node_runs(projected: DataFrame) -> DataFrame:
     return projected.where("bp_end > bp_start").select("cid", F.col("bp_start").alias("start"), F.col("bp_end").alias("end"), "depth")
 
 
-def coverage_runs(projected: DataFrame, gaps: DataFrame | None = None, width: int = SWEEP_BUCKET) -> DataFrame:
-    """Runs as long as can be, tiling each component: cid, start, end, depth.
+def mapping_events(placed: DataFrame, base: bool = True) -> DataFrame:
+    """cid, pos and delta: what each mapping adds where its node begins and takes off where it ends, and around its gaps.
+
+    One pass over the mappings; events at the same position are added up before they are shuffled.
+    """
+    event = lambda pos, delta: F.struct(pos.alias("pos"), F.lit(delta).cast("long").alias("delta"))
+    found = F.array(event(F.col("bp_start"), 1), event(F.col("bp_end"), -1))
+    if base:
+        start = F.col("bp_start")
+        around = F.transform(gap_array(placed), lambda g: F.array(event(start + g["gap_start"], -1), event(start + g["gap_end"], 1)))
+        found = F.concat(found, F.flatten(around))
+    return placed.where("bp_end > bp_start").select("cid", F.explode(found).alias("e")).select("cid", "e.pos", "e.delta")
+
+
+def node_events(projected: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """The same from depths of nodes, where these are known already."""
+    start = projected.select("cid", F.col("bp_start").alias("pos"), F.col("depth").alias("delta"))
+    events = start.unionByName(projected.select("cid", F.col("bp_end").alias("pos"), (-F.col("depth")).alias("delta")))
+    if gaps is None:
+        return events
+    a, b = F.col("bp_start") + F.col("gap_start"), F.col("bp_start") + F.col("gap_end")
+    both = F.array(F.struct(a.alias("pos"), F.lit(-1).cast("long").alias("delta")), F.struct(b.alias("pos"), F.lit(1).cast("long").alias("delta")))
+    return events.unionByName(gaps.select("cid", F.explode(both).alias("e")).select("cid", "e.pos", "e.delta"))
+
+
+def sweep(events: DataFrame, lengths: DataFrame, width: int = SWEEP_BUCKET) -> DataFrame:
+    """Runs as long as can be, tiling each component of lengths (cid, length): cid, start, end, depth.
 
     Events at one position are added up first. The sweep has two levels like a running sum;
     each bucket of positions also learns where the next event after it is. A depth below 0
     is an error.
     """
     zero = F.lit(0).cast("long")
-    start = projected.select("cid", F.col("bp_start").alias("pos"), F.col("depth").alias("delta"))
-    end = projected.select("cid", F.col("bp_end").alias("pos"), (-F.col("depth")).alias("delta"))
-    events = start.unionByName(end)
-    if gaps is not None:
-        at = gaps.select("cid", (F.col("bp_start") + F.col("gap_start")).alias("a"), (F.col("bp_start") + F.col("gap_end")).alias("b"))
-        both = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.lit(-1).cast("long").alias("delta")), F.struct(F.col("b").alias("pos"), F.lit(1).cast("long").alias("delta")))).alias("e")
-        events = events.unionByName(at.select("cid", both).select("cid", "e.pos", "e.delta"))
-    events = events.withColumn("bucket", F.floor(F.col("pos") / width).cast("long"))
+    origin = lengths.where("length > 0").select("cid", zero.alias("pos"), zero.alias("delta"))
+    events = events.unionByName(origin).withColumn("bucket", F.floor(F.col("pos") / width).cast("long"))
     net = events.groupBy("cid", "bucket", "pos").agg(F.sum("delta").alias("delta")).where((F.col("delta") != 0) | (F.col("pos") == 0))
-    lengths = projected.groupBy("cid").agg(F.max("bp_end").alias("length"))
     order = Window.partitionBy("cid").orderBy("bucket")
     carry = net.groupBy("cid", "bucket").agg(F.sum("delta").alias("sum"), F.min("pos").alias("first"))
     carry = carry.select("cid", "bucket", F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"), F.lead("first").over(order).alias("next"))
-    carry = carry.join(lengths, "cid").select("cid", "bucket", "before", F.coalesce("next", "length").alias("next"))
+    carry = carry.join(lengths.select("cid", "length"), "cid").select("cid", "bucket", "before", F.coalesce("next", "length").alias("next"))
     inner = Window.partitionBy("cid", "bucket").orderBy("pos")
     depth = F.col("before") + F.sum("delta").over(inner.rowsBetween(Window.unboundedPreceding, 0))
     runs = net.join(carry, ["cid", "bucket"]).select("cid", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(inner), F.col("next")).alias("end"), depth.alias("depth"))
     runs = runs.where(F.col("end") > F.col("start"))
-    return runs.withColumn("depth", F.when(F.col("depth") >= 0, F.col("depth")).otherwise(F.raise_error(F.lit("Coverage fell below 0: more gaps than mappings.")).cast("long")))
+    checked = F.when(F.col("depth") >= 0, F.least("depth", F.lit(MOST_DEPTH))).otherwise(F.raise_error(F.lit("Coverage fell below 0: more gaps than mappings.")).cast("long"))
+    return runs.withColumn("depth", checked)
+
+
+def coverage_runs(projected: DataFrame, gaps: DataFrame | None = None, width: int = SWEEP_BUCKET) -> DataFrame:
+    """Runs from depths of nodes (cid, bp_start, bp_end, depth) and gaps."""
+    return sweep(node_events(projected, gaps), projected.groupBy("cid").agg(F.max("bp_end").alias("length")), width)
 
 
 def clip(runs: DataFrame, cid: int, pieces: Sequence[tuple[int, int]]) -> DataFrame:

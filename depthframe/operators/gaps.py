@@ -32,30 +32,39 @@ def trailing(length: Column, offset: Column, reverse: Column, consumed: Column)
     return F.when(reverse, F.lit(0).cast("long")).otherwise(end), F.when(reverse, length - end).otherwise(length)
 
 
-def gaps(placed: DataFrame) -> DataFrame:
-    """All gaps: read_id, ord, cid, node_id, kind, gap_start, gap_end (in the node) and bp_start of the node.
+_NONE = "array<struct<kind:string,gap_start:bigint,gap_end:bigint>>"
+
 
-    placed: mappings joined with the layout (seq_len, bp_start). Deletions count in every
-    mapping, leading bases only in the first of a raw path, trailing ones only in its last. A
-    mapping without edits takes no base, so as the last one its whole node is a gap. One
-    pass: the gaps of a mapping are an array that is exploded.
+def gap_array(rows: DataFrame) -> Column:
+    """The gaps of a mapping (kind, gap_start, gap_end in its node) as an array.
+
+    rows: mappings joined with the layout. Deletions count in every mapping, leading bases
+    only in the first of a raw path, trailing ones only in its last. A mapping without edits
+    takes no base, so as the last one its whole node is a gap. Nodes without bases have none.
     """
-    length, reverse = F.col("seq_len"), F.col("is_reverse")
-    offset = clamp(F.col("offset"), F.lit(0).cast("long"), length)
+    length, reverse = rows["seq_len"], rows["is_reverse"]
+    offset = clamp(rows["offset"], F.lit(0).cast("long"), length)
+    none = F.array().cast(_NONE)
     struct = lambda kind, pair: F.struct(F.lit(kind).alias("kind"), pair[0].alias("gap_start"), pair[1].alias("gap_end"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,gap_start:bigint,gap_end:bigint>>").alias("found"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
 
     def step(s: Column, e: Column) -> Column:
         after = s["at"] + e["from_length"]
         gap = struct("deletion", walk_span(length, offset, reverse, s["at"], after))
         return F.struct(after.alias("at"), F.when(is_deletion(e), F.concat(s["found"], F.array(gap))).otherwise(s["found"]).alias("found"))
 
-    none = F.array().cast("array<struct<kind:string,gap_start:bigint,gap_end:bigint>>")
-    rows = placed.where(length > 0).withColumn("__walk", F.aggregate(F.coalesce("edits", F.array().cast("array<struct<from_length:int,to_length:int,sequence:string>>")), start, step))
-    rows = rows.withColumn("__gaps", F.concat(
-        F.col("__walk.found"),
-        F.when(F.col("ord") == 0, F.array(struct("leading", leading(length, offset, reverse)))).otherwise(none),
-        F.when(F.col("ord") == F.col("n_map") - 1, F.array(struct("trailing", trailing(length, offset, reverse, F.col("__walk.at"))))).otherwise(none),
-    ))
-    rows = rows.select("read_id", "ord", "cid", "node_id", "bp_start", F.explode("__gaps").alias("g"))
-    return rows.select("read_id", "ord", "cid", "node_id", "bp_start", "g.kind", "g.gap_start", "g.gap_end").where("gap_end > gap_start")
+    def ends(walk: Column) -> Column:
+        first = F.when(rows["ord"] == 0, F.array(struct("leading", leading(length, offset, reverse)))).otherwise(none)
+        last = F.when(rows["ord"] == rows["n_map"] - 1, F.array(struct("trailing", trailing(length, offset, reverse, walk["at"])))).otherwise(none)
+        return F.concat(walk["found"], first, last)
+
+    # The walk over the edits is evaluated once.
+    edits = F.coalesce(rows["edits"], F.array().cast("array<struct<from_length:int,to_length:int,sequence:string>>"))
+    found = F.element_at(F.transform(F.array(F.aggregate(edits, start, step)), ends), 1)
+    return F.filter(found, lambda g: g["gap_end"] > g["gap_start"])
+
+
+def gaps(placed: DataFrame) -> DataFrame:
+    """All gaps: read_id, ord, cid, node_id, bp_start of the node, kind, gap_start, gap_end. No shuffle."""
+    rows = placed.select("read_id", "ord", "cid", "node_id", "bp_start", F.explode(gap_array(placed)).alias("g"))
+    return rows.select("read_id", "ord", "cid", "node_id", "bp_start", "g.kind", "g.gap_start", "g.gap_end")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import coverage, gaps, layout, query, reads, stats
+from ..operators import coverage, layout, query, reads, stats
 
 PRECISIONS = ("base", "node")
 
@@ -39,21 +39,15 @@ class Analysis:
 
     def runs(self, precision: str = "base", scope: query.Scope | None = None) -> DataFrame:
         """cid, start, end, depth. At base precision without what reads leave out; of a scope only its pieces."""
-        if precision not in PRECISIONS:
-            raise ValueError(f"Precision must be 'base' or 'node', not '{precision}'.")
-        laid = self.layout()
-        placed = self.placed(scope, laid)
-        if scope is not None:
-            laid = laid.where(F.col("cid") == scope.cid)
-        projected = coverage.project_depth(laid, coverage.node_depth(placed))
-        runs = coverage.coverage_runs(projected, gaps.gaps(placed) if precision == "base" else None)
+        runs = self.component_runs(precision, scope)
         return runs if scope is None else coverage.clip(runs, scope.cid, scope.pieces)
 
-    def component_runs(self, precision: str, scope: query.Scope) -> DataFrame:
-        """Runs over the whole component of a scope, its mappings restricted to active nodes."""
-        laid = self.layout().where(F.col("cid") == scope.cid)
-        placed = self.placed(scope, laid)
-        return coverage.coverage_runs(coverage.project_depth(laid, coverage.node_depth(placed)), gaps.gaps(placed) if precision == "base" else None)
+    def component_runs(self, precision: str = "base", scope: query.Scope | None = None) -> DataFrame:
+        """Runs over whole components; with a scope over its component, from mappings on its active nodes."""
+        if precision not in PRECISIONS:
+            raise ValueError(f"Precision must be 'base' or 'node', not '{precision}'.")
+        lengths = self.lengths() if scope is None else self.lengths().where(F.col("cid") == scope.cid)
+        return coverage.sweep(coverage.mapping_events(self.placed(scope), precision == "base"), lengths)
 
     def mapping_stats(self, scope: query.Scope | None = None) -> DataFrame:
         active = self.nodes if scope is None else self.nodes.where(scope.active())
