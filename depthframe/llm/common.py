@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows that go through Python at a time; long texts are bounded by bytes as well.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
+#: Rows in an Arrow batch, where the session has Spark's own setting: ten thousand long texts would fill a worker.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +97,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="depthframe-")) / "depthframe.zip"
     with zipfile.ZipFile(target, "w") as z:
@@ -101,10 +108,23 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+def _release() -> None:
+    """Gives memory back that a worker no longer uses; idle workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """Arrow batches through a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def grown(df: DataFrame, *columns: tuple[str, str]) -> StructType:
