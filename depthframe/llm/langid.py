@@ -27,7 +27,7 @@ from .common import map_batches, pieces, plain
 
 ORDER = 4
 #: Bytes of text, about, that training takes of each language: whole texts, by a hash of their id.
-SAMPLE_BYTES = 1_500_000
+SAMPLE_BYTES = 1_200_000
 #: Languages at most, the most frequent ones. Beyond it the tables would not stay small.
 MOST_LANGUAGES = 64
 _LETTER = re.compile(r"[^\W\d_]")

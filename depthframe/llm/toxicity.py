@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import grown, map_batches, pieces, plain
 
 #: Bytes of text, about, that training takes of each label: whole texts, by a hash.
-TOXIC_BYTES, CLEAN_BYTES = 6_000_000, 12_000_000
+TOXIC_BYTES, CLEAN_BYTES = 4_000_000, 8_000_000
 #: A term follows at least so many different words in toxic texts ...
 LEAST_CONTEXTS = 6
 #: ... in at least so many toxic texts ...
