@@ -1,10 +1,12 @@
 """Byte-level BPE by replaying the merges over a corpus at once.
 
-All words of a batch that have not been seen yet are laid out in one array of tokens. An
-inverted index has the positions of each pair of neighbours that the vocabulary can
-merge. Pairs are taken in the order of their ranks; a merge changes only the two
-neighbours of a position, whose pairs go into the index again. Where a merge makes a pair
-of lower rank, that pair is taken first, as encoding word by word would.
+All words that have not been seen yet are laid out in one array of tokens. An inverted index
+has, for each rank, the positions of the neighbours that merge into it. Ranks are taken in
+order; all positions of a rank merge together, from the left where they overlap, and only the
+pairs of the two neighbours of each position are looked up again and go into the index.
+
+Where a merge makes a pair of a lower rank, encoding word by word would take that pair first:
+such words are encoded alone. Vocabularies learned by merging hardly have any.
 
 Defined results: a null text counts as empty; an empty text has no ids. The decoder maps
 ids to bytes and gives back exactly the UTF-8 bytes of the text.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import grown, map_batches, pieces
 
 #: Bytes of words that a worker remembers; beyond it forgets them and starts again.
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 80 << 20
+#: Bytes of text whose words are replayed together.
+TOGETHER = 12 << 20
 #: Longer words are encoded but not remembered.
 LONGEST_CACHED = 64
 
@@ -36,118 +41,190 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+#: Texts of these characters only are split by Python's own engine, which is faster and agrees on them.
+_PLAIN = re.compile(r"[\x20-\x7e\t\n\r\x0b\x0cÀ-ÖØ-öø-ÿ]*")
+_LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", r" \t\n\r\x0b\x0c"
+
+
+def _quick(pattern: str) -> re.Pattern | None:
+    """The same splits for plain texts, where the pattern's classes can be spelled out."""
+    known = {r"\p{L}": _LETTERS, r"\p{N}": "0-9", r"\s": _BLANKS}
+    if r"\S" not in pattern or "[" + _BLANKS in pattern:
+        return None
+    out = pattern.replace(r"(?!\S)", f"(?![^{_BLANKS}])").replace(r"[^\s\p{L}\p{N}]", f"[^{_BLANKS}{_LETTERS}0-9]")
+    for name, letters in known.items():
+        out = out.replace(name, f"[{letters}]")
+    return None if "\\p" in out else re.compile(out)
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.quick = _quick(pattern)
         self.text = {i: t for t, i in ranks.items()}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        # All pairs of tokens that merge: two halves of a token, by a number made of both.
+        self.base = max(ranks.values()) + 1
+        found = {ranks[t[:k]] * self.base + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = np.array(sorted(found), np.int64)
+        self.merged = np.array([found[p] for p in self.pairs.tolist()], np.int64)
         self.known: dict[str, bytes] = {}
+        self.last: set[str] = set()
         self.size = 0
-        self.pairs: dict[int, int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two neighbours merged, or -1."""
-        key = a << 32 | b
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            got = self.pairs[key] = self.ranks.get(self.text[a] + self.text[b], -1)
-        return got
-
-    def replay(self, words: Iterable[bytes]) -> list[list[int]]:
-        """The ids of each word, all merges applied over all words in the order of ranks."""
-        ranks, single = self.ranks, [self.ranks[bytes([i])] for i in range(256)]
-        out: list[list[int] | None] = []
-        ids: list[int] = []
-        first: list[int] = []
-        for w in words:
-            whole = ranks.get(w)
-            if whole is not None or not w:
-                out.append([whole] if w else [])
+
+    def split(self, text: str) -> list[str]:
+        return self.quick.findall(text) if self.quick and _PLAIN.fullmatch(text) else self.pattern.findall(text)
+
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Into which rank neighbours merge, or -1."""
+        key = a * self.base + b
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        if not len(self.pairs):
+            return np.full(len(key), -1, np.int64)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
+
+    def alone(self, word: bytes) -> list[int]:
+        """One word, always the lowest rank first, the leftmost of equal ones."""
+        parts: list[bytes | None] = [bytes([c]) for c in word]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+
+        def pair(i: int) -> tuple[int, int, bytes] | None:
+            j = after[i]
+            r = self.ranks.get(parts[i] + parts[j]) if j < len(parts) else None
+            return None if r is None else (r, i, parts[i] + parts[j])
+
+        heap = [p for i in range(len(parts) - 1) if (p := pair(i))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, text = heapq.heappop(heap)
+            # Entries of pairs that are no more are passed over.
+            if parts[i] is None or after[i] == len(parts) or parts[i] + parts[after[i]] != text:
                 continue
-            out.append(None)
-            first.append(len(ids))
-            ids += [single[c] for c in w]
-            ids.append(-1)
+            j = after[i]
+            parts[i], parts[j], after[i] = text, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (p := pair(k)):
+                    heapq.heappush(heap, p)
+        return [self.ranks[p] for p in parts if p is not None]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (little-endian, 32 bits), all merges applied over all words in the order of ranks."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes + 1)
+        starts = ends - sizes - 1
+        ids = self.single[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)]
+        ids[ends - 1] = -1  # parts the words, never merges
         n = len(ids)
-        # Neighbours by position; -1 parts the words and never merges.
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        pair = self.pair
-        # A rank stands for the merged bytes; several splits of these can share it.
-        for i in range(n - 1):
-            a, b = ids[i], ids[i + 1]
-            if a >= 0 and b >= 0 and (r := pair(a, b)) >= 0:
-                index.setdefault(r, []).append(i)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, -1, np.int64)  # of the pair that begins at a position
+        rank[:-1] = self._pair_ranks(ids[:-1], ids[1:])
+        index: dict[int, list[np.ndarray]] = {}
+        self._enter(index, np.flatnonzero(rank >= 0), rank)
         heap = list(index)
         heapq.heapify(heap)
+        odd: set[int] = set()
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
-            places = sorted(set(places))
-            for k, i in enumerate(places):
-                a = ids[i]
-                if a < 0:
-                    continue
-                j = after[i]
-                if j >= n or (b := ids[j]) < 0 or pair(a, b) != r:
-                    continue
-                ids[i], ids[j] = r, -2
-                j = after[i] = after[j]
-                if j < n:
-                    before[j] = i
-                lowest = r
-                h = before[i]
-                if h >= 0 and ids[h] >= 0 and (q := pair(ids[h], r)) >= 0:
-                    if q not in index:
-                        heapq.heappush(heap, q)
-                    index.setdefault(q, []).append(h)
-                    lowest = min(lowest, q)
-                if j < n and ids[j] >= 0 and (q := pair(r, ids[j])) >= 0:
-                    if q not in index:
-                        heapq.heappush(heap, q)
-                    index.setdefault(q, []).append(i)
-                    lowest = min(lowest, q)
-                if lowest < r and k + 1 < len(places):
-                    # The rest waits until the pairs of lower rank have been merged.
-                    if r not in index:
-                        heapq.heappush(heap, r)
-                    index.setdefault(r, []).extend(places[k + 1 :])
-                    break
-        starts = iter(first)
-        for k, got in enumerate(out):
-            if got is None:
-                i, word = next(starts), []
-                while ids[i] != -1:
-                    word.append(ids[i])
-                    i = after[i]
-                out[k] = word
+            i = np.concatenate(places)
+            i = np.unique(i[rank[i] == r])
+            if not len(i):
+                continue
+            # Of positions that overlap every other one merges, from the left.
+            linked = np.zeros(len(i), bool)
+            linked[1:] = after[i[:-1]] == i[1:]
+            if linked.any():
+                first = np.maximum.accumulate(np.where(linked, 0, np.arange(len(i))))
+                i = i[(np.arange(len(i)) - first) % 2 == 0]
+            j = after[i]
+            k = after[j]
+            # What the right neighbour was, should it merge in this step as well.
+            was = ids[k]
+            ids[i], ids[j], rank[j] = r, -2, -1
+            after[i], before[k] = k, i
+            h = before[i]
+            right = self._pair_ranks(ids[i], ids[k])
+            left = np.where(h >= 0, self._pair_ranks(ids[h], ids[i]), -1)
+            changed = was != ids[k]
+            low = ((right >= 0) & (right < r)) | ((left >= 0) & (left < r))
+            if changed.any():
+                half = self._pair_ranks(ids[i[changed]], was[changed])
+                low[changed] |= (half >= 0) & (half < r)
+            if low.any():
+                odd.update(np.searchsorted(ends, i[low], "right").tolist())
+            rank[i] = right
+            inner = h >= 0
+            rank[h[inner]] = left[inner]
+            touched = np.concatenate([i[right >= 0], h[left >= 0]])
+            for q in self._enter(index, touched, rank):
+                heapq.heappush(heap, q)
+        tokens = ids[ids >= 0].astype("<u4")
+        alive = np.concatenate([[0], np.cumsum(ids >= 0)])
+        first, last = (4 * alive[starts]).tolist(), (4 * alive[ends - 1]).tolist()
+        data = tokens.tobytes()
+        out = [data[a:b] for a, b in zip(first, last, strict=True)]
+        for w in odd:
+            out[w] = np.array(self.alone(words[w]), "<u4").tobytes()
+        # A word that is a token as a whole has its rank, whether merges lead there or not.
+        for w, raw in enumerate(words):
+            if raw in self.ranks:
+                out[w] = self.ranks[raw].to_bytes(4, "little")
         return out
 
+    @staticmethod
+    def _enter(index: dict[int, list[np.ndarray]], places: np.ndarray, rank: np.ndarray) -> list[int]:
+        """Puts positions into the index by the rank of their pair; gives the ranks that are new there."""
+        if not len(places):
+            return []
+        found = rank[places]
+        order = np.argsort(found, kind="stable")
+        places, found = places[order], found[order]
+        cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+        new = []
+        for a, b, q in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], found[np.concatenate([[0], cuts])].tolist(), strict=True):
+            if q in index:
+                index[q].append(places[a:b])
+            else:
+                index[q] = [places[a:b]]
+                new.append(q)
+        return new
+
     def learn(self, words: set[str]) -> None:
         """Encodes the words together and remembers them."""
         if self.size > CACHE_BYTES:
             self.known.clear()
             self.size = 0
         new = [w for w in words if w not in self.known]
-        for w, ids in zip(new, self.replay([w.encode() for w in new]), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        self.known.update(zip(new, self.replay([w.encode() for w in new]), strict=True))
         self.size += sum(150 + 5 * len(w) for w in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(t) for t in texts]
-        words = set().union(*split)
+        words: set[str] = set()
+        for t in texts:
+            words.update(self.split(t))
         self.learn(words)
+        self.last = words
         known = self.known
-        out = [b"".join([known[w] for w in ws]) for ws in split]
+        # Texts are split again: lists of all their words would take many times their size.
+        out = [b"".join([known[w] for w in self.split(t)]) for t in texts]
         for w in words:
             if len(w) > LONGEST_CACHED:
                 del known[w]
         return out
 
+    def rest(self) -> None:
+        """Between tasks only the words of the last texts are kept."""
+        self.known = {w: self.known[w] for w in self.last if w in self.known}
+        self.size = sum(150 + 5 * len(w) for w in self.known)
+
     def decode(self, ids: bytes) -> bytes:
         text = self.text
         return b"".join([text[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -170,6 +247,20 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches together, up to about TOGETHER bytes."""
+    part: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        part.append(batch)
+        size += batch.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(part)
+            part, size = [], 0
+    if part:
+        yield pa.concat_batches(part)
+
+
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """doc_id, keep, ids_col (binary: little-endian unsigned 32-bit integers) for every row of docs. No shuffle.
 
@@ -181,12 +272,13 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks, pattern)
-        for batch in pieces(batches, "__text", 4 << 20):
+        for batch in _joined(pieces(batches, "__text")):
             ids = vocabulary.encode([t or "" for t in batch.column("__text").to_pylist()])
             cols = [pa.array(ids, pa.binary())]
             if decoded_col:
                 cols.append(pa.array([vocabulary.decode(x) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, *new])
+        vocabulary.rest()
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c not in ("doc_id", id_col, *new)), F.col(f"`{text_col}`").alias("__text"))
     kept = src.columns[:-1]
@@ -199,7 +291,7 @@ def decode(encoded: DataFrame, vocab_path: str, pattern: str, ids_col: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks, pattern)
-        for batch in pieces(batches, ids_col, 4 << 20):
+        for batch in pieces(batches, ids_col):
             got = [None if x is None else vocabulary.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, as_col])
 

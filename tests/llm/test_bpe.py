@@ -37,7 +37,8 @@ def test_a_pair_of_lower_rank_that_a_merge_makes_goes_first():
     # abc has a lower rank than ab has neighbours to come: the replay must not merge all ab first.
     toy = {bytes([i]): i + 10 for i in range(256)} | {b"ab": 300, b"aba": 1, b"ba": 400, b"cab": 2}
     words = [b"ababab", b"abab", b"cabab", b"abaab", b"abababababab"]
-    merged = bpe.Vocabulary(toy, ".+").replay(words)
+    vocabulary = bpe.Vocabulary(toy, ".+")
+    merged = [ids(w) for w in vocabulary.replay(words)]
 
     def one(word):
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -48,7 +49,24 @@ def test_a_pair_of_lower_rank_that_a_merge_makes_goes_first():
             _, i = min(ranked)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    assert merged == [one(w) for w in words]
+    assert merged == [one(w) for w in words] == [vocabulary.alone(w) for w in words]
+
+
+def test_both_engines_split_alike(documents):
+    for _, text, *_ in documents:
+        assert OURS.quick.findall(text) == OURS.pattern.findall(text) and bpe._PLAIN.fullmatch(text)
+    for text in ("I'll 've  x\t\n y 12a!?\x0b\x0c é's  ", "''s'''t", " \r\n\r\n a"):
+        assert bpe._PLAIN.fullmatch(text) and OURS.quick.findall(text) == OURS.pattern.findall(text)
+    assert not bpe._PLAIN.fullmatch("ª") and not bpe._PLAIN.fullmatch("\x1c") and not bpe._PLAIN.fullmatch("²")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.binary(min_size=2, max_size=4).map(lambda b: bytes(97 + c % 3 for c in b)), st.integers(0, 10_000), max_size=25), st.lists(st.binary(max_size=14).map(lambda b: bytes(97 + c % 3 for c in b)), max_size=6))
+def test_any_ranks_are_replayed_as_word_by_word(more, words):
+    ranks = {bytes([i]): 20_000 + i for i in range(256)} | {t: 30_000 + k for k, t in enumerate(sorted(more, key=lambda t: (more[t], t)))}
+    vocabulary = bpe.Vocabulary(ranks, ".+")
+    expected = [[ranks[w]] if w in ranks else vocabulary.alone(w) for w in words]
+    assert [ids(w) for w in vocabulary.replay(words)] == expected
 
 
 def test_forgetting_changes_nothing(monkeypatch):
