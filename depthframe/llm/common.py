@@ -63,7 +63,8 @@ def _clear() -> None:
     for spark, folder in _FOLDERS:
         with contextlib.suppress(Exception):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            # The context may have been stopped by now.
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 atexit.register(_clear)
