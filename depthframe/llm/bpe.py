@@ -31,7 +31,7 @@ from .common import grown, map_batches, pieces
 #: Bytes of words that a worker remembers; beyond it forgets them and starts again.
 CACHE_BYTES = 80 << 20
 #: Bytes of text whose words are replayed together.
-TOGETHER = 12 << 20
+TOGETHER = 6 << 20
 #: Longer words are encoded but not remembered.
 LONGEST_CACHED = 64
 
