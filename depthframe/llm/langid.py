@@ -15,11 +15,11 @@ learn from. Ties go to the first language in order of name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ ORDER = 4
 SAMPLE_BYTES = 1_200_000
 #: Languages at most, the most frequent ones. Beyond it the tables would not stay small.
 MOST_LANGUAGES = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _START = b"\n" * ORDER
 #: Bytes scored at a time.
 _WINDOW = 1 << 20

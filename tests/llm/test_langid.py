@@ -65,6 +65,10 @@ def test_training_never_sees_held_out_rows(spark):
     assert model.langs == ["en"]
 
 
+def test_what_has_no_letter():
+    assert langid.Model(TEXTS).predict(["²³ ½ 12 _ !?", "", None, " 🙂", "x"])[0] == ["und"] * 4 + ["c"]
+
+
 def test_the_sample_is_bounded(spark):
     rows = spark.createDataFrame([(i, f"some text number {i} " * 20, "en") for i in range(400)], "doc_id long, text string, lang string")
     small = langid.train(rows, F.lit(True), sample_bytes=20_000)
