@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .gaps import gap_array
+from .prefix import bucket
 
 #: Counts stop at the largest unsigned number of 32 bits.
 MOST_DEPTH = (1 << 32) - 1
@@ -74,7 +75,7 @@ def sweep(events: DataFrame, lengths: DataFrame, width: int = SWEEP_BUCKET) -> D
     """
     zero = F.lit(0).cast("long")
     origin = lengths.where("length > 0").select("cid", zero.alias("pos"), zero.alias("delta"))
-    events = events.unionByName(origin).withColumn("bucket", F.floor(F.col("pos") / width).cast("long"))
+    events = events.unionByName(origin).withColumn("bucket", bucket("pos", width))
     net = events.groupBy("cid", "bucket", "pos").agg(F.sum("delta").alias("delta")).where((F.col("delta") != 0) | (F.col("pos") == 0))
     order = Window.partitionBy("cid").orderBy("bucket")
     carry = net.groupBy("cid", "bucket").agg(F.sum("delta").alias("sum"), F.min("pos").alias("first"))

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def bucket(name: str, width: int) -> Column:
+    """Which bucket of width a number from 0 is in.
+
+    Never null: a filter for that, on one of two uses of a table, would keep Spark from
+    computing the table once for both.
+    """
+    return F.coalesce(F.expr(f"`{name}` div {int(width)}"), F.lit(0).cast("long"))
+
+
 def running_sum(rows: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], width: int) -> DataFrame:
     """For each new column in sums, the sum of a value over the rows of a group up to and including this one.
 
@@ -16,7 +25,7 @@ def running_sum(rows: DataFrame, by: Sequence[str], order: str, sums: dict[str,
     order, and the sums of the buckets before are carried in. A group of any size is dealt
     over its buckets.
     """
-    rows = rows.withColumn("__bucket", F.floor(F.col(order) / width).cast("long"))
+    rows = rows.withColumn("__bucket", bucket(order, width))
     totals = rows.groupBy(*by, "__bucket").agg(*(F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*by, "__bucket", *(F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__carry_{c}") for c in sums))
@@ -32,9 +41,9 @@ def containing(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str,
     touches, and the comparison runs only within one. An equi-join, so Spark picks a
     broadcast or a shuffle by the measured sizes. Empty spans contain nothing.
     """
-    last = F.floor((F.col(end) - 1) / width).cast("long")
-    split = spans.where(F.col(end) > F.col(start)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), last)))
-    points = points.withColumn("__bucket", F.floor(F.col(at) / width).cast("long"))
+    last = F.expr(f"(`{end}` - 1) div {int(width)}")
+    split = spans.where(F.col(end) > F.col(start)).withColumn("__bucket", F.explode(F.sequence(bucket(start, width), last)))
+    points = points.withColumn("__bucket", bucket(at, width))
     keys = [*by, "__bucket"]
     left, right = points.alias("p"), split.alias("s")
     on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col(f"p.{at}") >= F.col(f"s.{start}"), F.col(f"p.{at}") < F.col(f"s.{end}")]
