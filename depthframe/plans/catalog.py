@@ -16,6 +16,9 @@ from .engine import Analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Whole-table counterparts of queries whose SQL is bound to a part of the input.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+WHOLE_ORACLE: dict[str, str] = {}
 
 #: The component and ranges that the query examples ask for.
 CID, RANGE, ROUND_RANGE = 3, (20, -20), (-30, 25)
@@ -78,6 +81,17 @@ def _query(name: str, oracle: str):
     return add
 
 
+def _thin_and_whole(name: str, oracle: str):
+    """Registers f over every sixteenth read, which the SQL of this name is bound to, and as name_whole over all reads."""
+
+    def add(f):
+        _query(name, oracle)(lambda spark, sf_dir: f(analysis(spark, sf_dir, thin=True)))
+        WHOLE[f"{name}_whole"], WHOLE_ORACLE[f"{name}_whole"] = lambda spark, sf_dir: f(analysis(spark, sf_dir)), oracle.replace(_THIN, "")
+        return f
+
+    return add
+
+
 def analysis(spark: SparkSession, sf_dir: str, thin: bool = False) -> Analysis:
     return Analysis(fixture.nodes(spark, sf_dir), fixture.components(spark, sf_dir), fixture.alignments(spark, sf_dir, thin))
 
@@ -238,9 +252,8 @@ def node_depth(spark, sf_dir):
     return analysis(spark, sf_dir).depth()
 
 
-@_query("node_depth_projected", _with(_PARTS, _MAPS, _DEPTH, filter=_THIN) + " SELECT cid, idx, node_id, coalesce(depth, 0)::BIGINT AS depth FROM layout LEFT JOIN depth USING (node_id)")
-def node_depth_projected(spark, sf_dir):
-    a = analysis(spark, sf_dir, thin=True)
+@_thin_and_whole("node_depth_projected", _with(_PARTS, _MAPS, _DEPTH, filter=_THIN) + " SELECT cid, idx, node_id, coalesce(depth, 0)::BIGINT AS depth FROM layout LEFT JOIN depth USING (node_id)")
+def node_depth_projected(a):
     laid = a.layout()
     return coverage.project_depth(laid, a.depth(laid=laid)).select("cid", "idx", "node_id", "depth")
 
@@ -269,10 +282,10 @@ def coverage_base(spark, sf_dir):
     return coverage.named_bases(a.runs(), a.components)
 
 
-@_query("coverage_runs", _with(*_ALL, filter=_THIN) + """, marks AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY cid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM bases),
+@_thin_and_whole("coverage_runs", _with(*_ALL, filter=_THIN) + """, marks AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY cid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM bases),
   runs AS (SELECT *, sum(new) OVER (PARTITION BY cid ORDER BY pos) AS run FROM marks) SELECT cid, min(pos) AS start, max(pos) + 1 AS "end", min(depth) AS depth FROM runs GROUP BY cid, run""")
-def coverage_runs(spark, sf_dir):
-    return analysis(spark, sf_dir, thin=True).runs()
+def coverage_runs(a):
+    return a.runs()
 
 
 @_query("query_range", _with(_PARTS, _CELLS, *_ALL[1:], active=_STRAIGHT) + f" SELECT name AS component_name, pos AS position, depth AS coverage FROM bases JOIN comps USING (cid), c WHERE cid = {CID} AND pos BETWEEN c.qs AND c.qe")
@@ -330,9 +343,9 @@ def coverage_stats_component(spark, sf_dir):
     return _rounded(stats.component_stats(a.histogram()).join(a.components, "cid"))
 
 
-@_query("coverage_stats_global", _with(*_ALL, filter=_THIN) + f" SELECT {_STATS} FROM bases")
-def coverage_stats_global(spark, sf_dir):
-    return _rounded(stats.total_stats(analysis(spark, sf_dir, thin=True).histogram()))
+@_thin_and_whole("coverage_stats_global", _with(*_ALL, filter=_THIN) + f" SELECT {_STATS} FROM bases")
+def coverage_stats_global(a):
+    return _rounded(stats.total_stats(a.histogram()))
 
 
 @_query("coverage_stats_rollup", _with(*_ALL) + f" SELECT coalesce(cid::VARCHAR, 'Total') AS label, {_STATS} FROM bases GROUP BY ROLLUP (cid)")
@@ -383,15 +396,14 @@ def smooth_circular(spark, sf_dir):
     return series.smooth(a.runs(), a.lengths(), SHARE, POINTS, circular=True).select("cid", "x", *_six("y"), "window_size")
 
 
-@_query("log_transform", _with(*_ALL, filter=_THIN) + f" SELECT DISTINCT depth, round(CASE WHEN depth <= 1 THEN depth::DOUBLE ELSE 1 + ln(depth) / ln({LOG_BASE}) END, 6) AS y FROM bases")
-def log_transform(spark, sf_dir):
-    depths = analysis(spark, sf_dir, thin=True).runs().select("depth").distinct()
+@_thin_and_whole("log_transform", _with(*_ALL, filter=_THIN) + f" SELECT DISTINCT depth, round(CASE WHEN depth <= 1 THEN depth::DOUBLE ELSE 1 + ln(depth) / ln({LOG_BASE}) END, 6) AS y FROM bases")
+def log_transform(a):
+    depths = a.runs().select("depth").distinct()
     return depths.select("depth", F.round(series.log_scale(F.col("depth").cast("double"), LOG_BASE), 6).alias("y"))
 
 
-@_query("linear_plot_series", _with(*_ALL, _samples("lens"), _window(str(series.SMOOTHING), "lens"), _LINEAR.replace("{bases}", "bases"), filter=_THIN) + f" SELECT cid, x, round(y, 6) AS y, round(CASE WHEN y <= 1 THEN y ELSE 1 + ln(y) / ln({LOG_BASE}) END, 6) AS plot_y, window_size FROM smooth")
-def linear_plot_series(spark, sf_dir):
-    a = analysis(spark, sf_dir, thin=True)
+@_thin_and_whole("linear_plot_series", _with(*_ALL, _samples("lens"), _window(str(series.SMOOTHING), "lens"), _LINEAR.replace("{bases}", "bases"), filter=_THIN) + f" SELECT cid, x, round(y, 6) AS y, round(CASE WHEN y <= 1 THEN y ELSE 1 + ln(y) / ln({LOG_BASE}) END, 6) AS plot_y, window_size FROM smooth")
+def linear_plot_series(a):
     return series.linear_series(a.runs(), a.lengths(), most=POINTS, log_base=LOG_BASE).select("cid", "x", *_six("y", "plot_y"), "window_size")
 
 

@@ -1,0 +1,39 @@
+"""Queries over the whole table beside those whose SQL reads a part of it."""
+
+import math
+
+import pytest
+
+import __spark_entry__
+from depthframe.plans import catalog
+
+from .conftest import duck_rows, rows_of
+from .graphs import TWO, analysis, mapping
+
+THIN = ("coverage_runs", "coverage_stats_global", "linear_plot_series", "log_transform", "node_depth_projected")
+
+
+@pytest.mark.parametrize("name", sorted(catalog.WHOLE))
+def test_whole_query_agrees_with_its_sql(spark, duck, sf_dir, name):
+    df = __spark_entry__.queries()[name](spark, sf_dir)
+    got = rows_of(df)
+    assert got == duck_rows(duck, __spark_entry__.oracle_sql()[name], df.columns) and got
+
+
+def test_every_read_counts(spark, sf_dir):
+    assert {f"{n}_whole" for n in THIN} <= set(__spark_entry__.queries())
+    found = __spark_entry__.queries()
+    mapped = found["node_depth"](spark, sf_dir).groupBy().sum("depth").first()[0]
+    assert found["node_depth_projected_whole"](spark, sf_dir).groupBy().sum("depth").first()[0] == mapped
+    assert not any("% 16" in __spark_entry__.oracle_sql()[f"{n}_whole"] for n in THIN)
+
+
+def test_bases_without_reads(spark):
+    whole = lambda node: mapping(node, 0, False, "M100")
+    a = analysis(spark, TWO, [[whole(10)], [whole(10), whole(11)]])
+    assert sorted(map(tuple, catalog.coverage_runs(a).select("cid", "start", "end", "depth").collect())) == [(0, 0, 100, 2), (0, 100, 200, 1), (0, 200, 300, 0), (1, 0, 100, 0)]
+    assert {r["node_id"]: r["depth"] for r in catalog.node_depth_projected(a).collect()} == {10: 2, 11: 1, 12: 0, 20: 0, 21: 0}
+    r = catalog.coverage_stats_global(a).first()
+    assert (r["region_length"], r["covered_positions"], r["breadth"], r["mean"], r["min"], r["max"]) == (400, 200, 50.0, 0.75, 0, 2)
+    assert {r["depth"]: r["y"] for r in catalog.log_transform(a).collect()} == {0: 0.0, 1: 1.0, 2: round(1 + math.log10(2), 6)}
+    assert {(r["y"], r["plot_y"]) for r in catalog.linear_plot_series(a).where("cid = 1").collect()} == {(0.0, 0.0)}
