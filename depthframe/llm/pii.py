@@ -6,8 +6,8 @@ ones, spelled digits become digits, ``[at]`` and ``dot`` become signs. The detec
 over the rewritten text and each match is mapped back to source characters.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows
-each get their own result; spans are code points, end exclusive. Texts without any sign
-of a disguise skip the transducers, which could not change them.
+each get their own result; spans are code points, end exclusive. Texts that no
+transducer changes skip them; the rules themselves are what is asked.
 """
 
 from __future__ import annotations
@@ -65,10 +65,6 @@ _DOT_RULE = re.compile(rf"(?<=[A-Za-z0-9])(?:{_SPACE}*[\[({{<]{_SPACE}*(?:{_DOTS
 _HOST = rf"[A-Za-z0-9-]+(?:[.{_MARK}][A-Za-z0-9-]+)*"
 _AT_RULE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_SPACE}*[\[({{<]{_SPACE}*(?:{_ATS}|@){_SPACE}*[\])}}>]{_SPACE}*(?={_HOST}[.{_MARK}])|(?:{_SPACE}+(?:{_ATS}|@){_SPACE}+|{_SPACE}+@|@{_SPACE}+|[_-](?:{_ATS})[_-])(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_MARK})|(?:{_SPACE}+@{_SPACE}*|@{_SPACE}+)(?={_HOST}\.[A-Za-z]))", re.I)
 
-# Signs of a disguise. None of them: the chain would return the text as it is.
-_ODD = re.compile("[­²³¹ıɑɡͰ-ԯա-և٠-٩۰-۹०-९​-― ⁠-₟℀-↏−①-⓿❶-➓　。﹐-﹫﻿＀-￯\U0001d400-\U0001d7ff\U0001f100-\U0001f16f]")
-_HIDDEN = re.compile(rf"[\[({{<]{_SPACE}*(?:{_ATS}|@|\.){_SPACE}*[\])}}>]|(?<![^\W\d_])(?:{_DOTS})(?![^\W\d_])|{_SPACE}@|@{_SPACE}|(?<!\w)(?:{_NUMBER})[ \t ,\-]{{1,3}}(?:{_NUMBER}|[0-9])(?!\w)|[0-9][ \t ,\-]{{1,3}}(?:{_NUMBER})(?!\w)|(?<!\w)(?:{_PLUS})[ ]+[0-9]", re.I)
-
 
 @lru_cache(1 << 16)
 def _plain_char(c: str) -> str:
@@ -93,6 +89,23 @@ def _plain_char(c: str) -> str:
     return c if value is None else str(value)
 
 
+def _runs(text: str) -> list[tuple[int, int]]:
+    """Runs of at least four digits with a spelled one among them."""
+    return [m.span() for m in _RUN.finditer(text) if _WORD.search(m[0])]
+
+
+def _touched(text: str) -> bool:
+    """Whether any transducer changes the text: the first one to do so sees it as it was written."""
+    if not text.isascii() and (_MARK in text or any(_plain_char(c) != c for c in set(text) if c >= "\x80")):
+        return True
+    if _PLUS_RULE.search(text) or _DASH_RULE.search(text) or _DOT_RULE.search(text):
+        return True
+    # Without a mark, which is a change already, an "at" takes its sign or a bracket.
+    if any(c in text for c in "@[({<") and _AT_RULE.search(text):
+        return True
+    return bool(_runs(text))
+
+
 class Tape:
     """A rewritten text; ``start[i]`` and ``end[i]`` are the source span of its character i."""
 
@@ -102,7 +115,7 @@ class Tape:
     def characters(self) -> None:
         out, start, end = [], [], []
         for i, c in enumerate(self.text):
-            seen = c if c < "\x80" else _plain_char(c) if _ODD.match(c) else c
+            seen = c if c < "\x80" else _plain_char(c)
             out.append(seen)
             start += [self.start[i]] * len(seen)
             end += [self.end[i]] * len(seen)
@@ -123,8 +136,7 @@ class Tape:
 
     def spelled(self) -> None:
         """Digits in words, only within runs of at least four; then what parts them goes."""
-        runs = [(m.start(), m.end()) for m in _RUN.finditer(self.text) if _WORD.search(m[0])]
-        for a, b in reversed(runs):
+        for a, b in reversed(_runs(self.text)):
             part = Tape("")
             part.text, part.start, part.end = self.text[a:b], self.start[a:b], self.end[a:b]
             part.rewrite(_WORD, lambda m: str(_SPELLED[m[0].lower()]))
@@ -180,7 +192,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows; none overlaps a base span of its kind."""
-    if not ((not text.isascii() and _ODD.search(text)) or _HIDDEN.search(text)):
+    if not _touched(text):
         return []
     tape = Tape(text).normalise()
     if tape.text == text:
