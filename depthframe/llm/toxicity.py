@@ -5,9 +5,10 @@ which occur after many different words in toxic texts and hardly in others. The
 different words before a term counts, not its occurrences, so a copied text adds nothing.
 
 Scoring reads every token. A token is a term, begins with a stem, or is within a bounded
-edit distance of a term: a Levenshtein automaton of the token walks the trie of the lexicon
-and only branches that the automaton still accepts are followed. Tokens that occur in
-harmless training texts are never taken for misspellings. Each hit is weighed by its
+edit distance of a term, or a prefix of it is of a stem: a Levenshtein automaton of the token
+walks the tries of the lexicon and only branches that the automaton still accepts are
+followed. Tokens that occur in harmless training texts are never taken for misspellings.
+Misspellings of a term that many harmless words come near count less, but are all sought. Each hit is weighed by its
 context: next to other hits it counts more, inside quotation marks and near words of
 reporting it counts less. A logistic model maps the weights to a probability.
 
@@ -45,7 +46,7 @@ MOST_TERMS = 5000
 WINDOW = 12
 #: A misspelt term counts so much of the term.
 NEAR = 0.8
-#: So many harmless words near a term end the search for its misspellings.
+#: From so many harmless words near a term on, its misspellings count less.
 CROWD = 8
 #: The logarithm of the ratio of a term's shares in toxic and other texts from which it counts fully.
 FULL_RATIO = 5.0
@@ -64,7 +65,12 @@ def tokens(text: str) -> list[str]:
 
 
 def distance_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def _accepted(seen: str, term: str, edits: int) -> bool:
+    """Whether a text so many edits from a term is a misspelling of it; short terms and two edits keep the first letter."""
+    return edits <= distance_allowed(term) and (edits < 1 + (len(term) > 4) or seen[0] == term[0])
 
 
 class Trie:
@@ -78,8 +84,8 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def near(self, token: str, most: int) -> dict[str, int]:
-        """Words within the distance, with their distances.
+    def near(self, token: str, most: int, heads: bool = False) -> dict[str, int]:
+        """Words within the distance, with their distances; with heads, of the nearest prefix of the token.
 
         The automaton's state is the row of edit distances to each prefix of the token; a
         branch ends where all of them exceed the bound.
@@ -90,8 +96,8 @@ class Trie:
             node, row = stack.pop()
             for c, child in node.items():
                 if not c:
-                    if row[-1] <= most:
-                        found[child] = row[-1]
+                    if (edits := min(row) if heads else row[-1]) <= most:
+                        found[child] = edits
                     continue
                 new = [row[0] + 1]
                 for i, x in enumerate(token):
@@ -104,26 +110,25 @@ class Trie:
 class Lexicon:
     """Terms and stems with a bounded memory of tokens already looked up."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], harmless: set[str]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], harmless: set[str], toxic: set[str] = frozenset(), purity: dict[str, float] | None = None) -> None:
+        """toxic: words of toxic texts, harmless ones too; purity: as measured before, in place of them."""
         self.words, self.stems, self.harmless = words, stems, harmless
-        self.settle(set(words))
-        # Where many harmless words come near a term, what looks like a misspelling is a word of its own.
-        near = Counter(w for token in harmless for w in self._near(token))
-        self.settle({w for w in words if near[w] < CROWD})
+        self.trie, self.stem_trie = Trie(set(words)), Trie(set(stems))
         self.stem_lengths = sorted({len(s) for s in stems})
-        self.known: dict[str, float] = {}
-
-    def settle(self, words: set[str]) -> None:
-        """Which terms misspellings are sought of."""
-        self.trie = Trie(words)
         # One edit leaves one half of a term as it is, two edits one third: a token that has none of these is not near.
-        self.parts: set[tuple[str, str]] = set()
-        for w in words:
-            for a, b in self._cuts(w, distance_allowed(w)):
-                self.parts.add((str(distance_allowed(w)), w[a:b]))
-        self.part_texts = {p for _, p in self.parts}
+        self.part_texts = {w[a:b] for w in words for a, b in self._cuts(w, distance_allowed(w))}
         self.part_lengths = sorted({len(p) for p in self.part_texts})
         self.lengths = {n for w in words if (d := distance_allowed(w)) for n in range(len(w) - d, len(w) + d + 1)}
+        self.stem_parts = {s[a:b] for s in stems for a, b in self._cuts(s, distance_allowed(s))}
+        self.stem_part_lengths = sorted({len(p) for p in self.stem_parts})
+        self.purity = self._purity(toxic) if purity is None else purity
+        self.known: dict[str, float] = {}
+
+    def _purity(self, toxic: set[str]) -> dict[str, float]:
+        """The share of words near a term that only toxic texts have, where many harmless words come near it; else 1."""
+        good = Counter(w for token in self.harmless for w in self._near(token))
+        bad = Counter(w for token in toxic - self.harmless if token not in self.words for w in self._near(token))
+        return {w: (bad[w] + CROWD) / (bad[w] + n) for w, n in good.items() if n > CROWD}
 
     @staticmethod
     def _cuts(word: str, edits: int) -> list[tuple[int, int]]:
@@ -141,13 +146,20 @@ class Lexicon:
         seen = token if token.isalpha() else token.translate(_LEET).replace("*", "")
         if seen != token and seen in self.words:
             return self.words[seen]
-        return max((NEAR * self.words[w] for w in self._near(seen)), default=0.0)
+        return max((NEAR * max(self.words.get(w, 0.0), self.stems.get(w, 0.0)) * self.purity.get(w, 1.0) for w in self._near(seen)), default=0.0)
 
     def _near(self, seen: str) -> list[str]:
-        """The terms that a token may be a misspelling of."""
-        if len(seen) not in self.lengths or not any(seen[i : i + n] in self.part_texts for n in self.part_lengths for i in range(len(seen) - n + 1)):
-            return []
-        return [w for w, d in self.trie.near(seen, 2).items() if d <= distance_allowed(w) and (d < 2 or seen[0] == w[0])]
+        """The terms that a token may be a misspelling of, and the stems that its beginning may be."""
+
+        def shares(parts: set[str], lengths: list[int]) -> bool:
+            return any(seen[i : i + n] in parts for n in lengths for i in range(len(seen) - n + 1))
+
+        found: dict[str, int] = {}
+        if len(seen) in self.lengths and shares(self.part_texts, self.part_lengths):
+            found = self.trie.near(seen, 2)
+        if self.stem_parts and shares(self.stem_parts, self.stem_part_lengths):
+            found |= self.stem_trie.near(seen[: STEM_LENGTHS[-1] + 1], 1, heads=True)
+        return [w for w, d in found.items() if _accepted(seen, w, d)]
 
     def look_up(self, words: set[str]) -> dict[str, float]:
         """Weights of all the words; those without any are 0."""
@@ -210,8 +222,8 @@ class Lexicon:
         return found
 
 
-def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float], set[str]]:
-    """Words and stems of the lexicon with their weights, and all words of the harmless texts."""
+def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float], set[str], set[str]]:
+    """Words and stems of the lexicon with their weights, all words of the harmless texts, and all of the toxic ones."""
 
     def contexts(texts: list[str]) -> tuple[dict[str, set[str]], Counter, Counter]:
         found: dict[str, set[str]] = defaultdict(set)
@@ -261,13 +273,13 @@ def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[s
             found.add(s)
     words = {w for w in words if not any(w[:n] in found for n in STEM_LENGTHS)}
     top = sorted(words, key=lambda w: (-len(bad[w]), w))[:MOST_TERMS]
-    harmless = {w for w in good if len(w) >= 4}
+    harmless = {w for w in good if len(w) >= 3}
 
     def weight(n: int, other: int) -> float:
         return min(1.0, max(0.1, math.log((n + 0.5) / len(toxic) * len(clean) / (other + 0.5)) / FULL_RATIO))
 
     kept = sorted(found, key=lambda s: (-bad_stems[s], s))[:MOST_TERMS]
-    return {w: weight(bad_texts[w], good_texts[w]) for w in top}, {s: weight(bad_stem_texts[s], good_stem_texts[s]) for s in kept}, harmless - set(top)
+    return {w: weight(bad_texts[w], good_texts[w]) for w in top}, {s: weight(bad_stem_texts[s], good_stem_texts[s]) for s in kept}, harmless - set(top), set(bad)
 
 
 def _design(rows: list[tuple[float, float, float]]) -> np.ndarray:
@@ -280,11 +292,11 @@ class Model:
         self.lexicon, self.beta = lexicon, beta
 
     def __reduce__(self):
-        return Model._load, (self.lexicon.words, self.lexicon.stems, self.lexicon.harmless, self.beta)
+        return Model._load, (self.lexicon.words, self.lexicon.stems, self.lexicon.harmless, self.lexicon.purity, self.beta)
 
     @staticmethod
-    def _load(words, stems, harmless, beta) -> Model:
-        return Model(Lexicon(words, stems, harmless), beta)
+    def _load(words, stems, harmless, purity, beta) -> Model:
+        return Model(Lexicon(words, stems, harmless, purity=purity), beta)
 
     def score(self, texts: list[str | None]) -> list[float]:
         rows = [self.lexicon.features(t) if t else (0.0, 0.0, 0.0) for t in texts]
