@@ -178,12 +178,17 @@ def bp_lookup(spark, sf_dir):
 
 
 @_query("asof_component", _with(_PARTS, _SUMMARY) + ", o AS (SELECT cid, sum(nb_nodes) OVER (ORDER BY cid) - nb_nodes AS first FROM summary), f AS (SELECT unnest(range(0, (SELECT sum(nb_nodes) FROM summary)::BIGINT, 7)) AS flat_idx) SELECT flat_idx, cid, (flat_idx - first)::BIGINT AS idx FROM f ASOF JOIN o ON flat_idx >= first")
-def asof_component(spark, sf_dir):
+def asof_component(spark, sf_dir, step=7):
     a = analysis(spark, sf_dir)
-    points = a.nodes.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(7).cast("long"))).alias("flat_idx"))
+    points = a.nodes.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("flat_idx"))
     return layout.component_of(a.summary(), points)
 
 
+# The SQL of this name is bound to every seventh index; this one looks up every index.
+WHOLE["asof_component_whole"] = lambda spark, sf_dir: asof_component(spark, sf_dir, 1)
+WHOLE_ORACLE["asof_component_whole"] = ORACLE["asof_component"].replace("::BIGINT, 7)) AS flat_idx", "::BIGINT, 1)) AS flat_idx")
+
+
 @_query("query_nodes", _with(_PARTS, _CELLS) + f" SELECT node_id, idx FROM layout WHERE cid = {CID} AND (idx >= {_at('c.rs')} OR idx <= {_at('c.re')})")
 def query_nodes(spark, sf_dir):
     a = analysis(spark, sf_dir)

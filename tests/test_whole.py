@@ -37,3 +37,9 @@ def test_bases_without_reads(spark):
     assert (r["region_length"], r["covered_positions"], r["breadth"], r["mean"], r["min"], r["max"]) == (400, 200, 50.0, 0.75, 0, 2)
     assert {r["depth"]: r["y"] for r in catalog.log_transform(a).collect()} == {0: 0.0, 1: 1.0, 2: round(1 + math.log10(2), 6)}
     assert {(r["y"], r["plot_y"]) for r in catalog.linear_plot_series(a).where("cid = 1").collect()} == {(0.0, 0.0)}
+
+
+def test_asof_component_resolves_every_index(spark, sf_dir):
+    found = __spark_entry__.queries()
+    n = found["node_layout"](spark, sf_dir).count()
+    assert sorted(r["flat_idx"] for r in found["asof_component_whole"](spark, sf_dir).collect()) == list(range(n))
