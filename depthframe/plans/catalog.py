@@ -16,9 +16,6 @@ from .engine import Analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Whole-table counterparts of queries whose SQL is bound to a part of the input.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-WHOLE_ORACLE: dict[str, str] = {}
 
 #: The component and ranges that the query examples ask for.
 CID, RANGE, ROUND_RANGE = 3, (20, -20), (-30, 25)
@@ -37,7 +34,7 @@ maps AS (SELECT l_orderkey AS read_id, (row_number() OVER w - 1)::BIGINT AS ord,
   CASE WHEN round(l_discount * 100)::INTEGER = 10 THEN 0 ELSE l_partkey + 1 END::BIGINT AS node_id, (l_quantity::INTEGER % 7)::BIGINT AS off, l_returnflag = 'R' AS rev,
   l_linenumber::BIGINT AS m1, (round(l_tax * 100)::INTEGER % 4)::BIGINT AS del,
   greatest(0, coalesce(p_size, 0) - (l_quantity::INTEGER % 7) - l_linenumber - (round(l_tax * 100)::INTEGER % 4) - l_suppkey % 3)::BIGINT AS m2
-  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey {filter}
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)),
 placed AS (SELECT m.read_id, m.ord, m.n_map, m.off, m.rev, m.m1, m.del, m.m2, l.*, least(greatest(m.off, 0), l.seq_len) AS o FROM maps m JOIN layout l ON l.node_id = m.node_id WHERE m.node_id > 0 {active})"""
 
@@ -55,12 +52,11 @@ lost AS (SELECT cid, pos, count(*) AS n FROM (SELECT cid, unnest(range(bp_start
 bases AS (SELECT n.cid, n.idx, n.pos, (n.depth - coalesce(l.n, 0))::BIGINT AS depth FROM node_bases n LEFT JOIN lost l USING (cid, pos))"""
 
 
-def _with(*parts: str, filter: str = "", active: str = "") -> str:
-    return "WITH " + ",\n".join(p.replace("{filter}", filter).replace("{active}", active) for p in parts)
+def _with(*parts: str, active: str = "") -> str:
+    return "WITH " + ",\n".join(p.replace("{active}", active) for p in parts)
 
 
 _ALL = (_PARTS, _MAPS, _GAPS, _DEPTH, _NODE_BASES, _BASES)
-_THIN = "WHERE l_orderkey % 16 = 0"
 _CELLS = f"c AS (SELECT length AS len, {RANGE[0]} AS qs, length + {RANGE[1]} AS qe, length + {ROUND_RANGE[0]} AS rs, {ROUND_RANGE[1]} AS re FROM lens WHERE cid = {CID})"
 
 
@@ -81,19 +77,8 @@ def _query(name: str, oracle: str):
     return add
 
 
-def _thin_and_whole(name: str, oracle: str):
-    """Registers f over every sixteenth read, which the SQL of this name is bound to, and as name_whole over all reads."""
-
-    def add(f):
-        _query(name, oracle)(lambda spark, sf_dir: f(analysis(spark, sf_dir, thin=True)))
-        WHOLE[f"{name}_whole"], WHOLE_ORACLE[f"{name}_whole"] = lambda spark, sf_dir: f(analysis(spark, sf_dir)), oracle.replace(_THIN, "")
-        return f
-
-    return add
-
-
-def analysis(spark: SparkSession, sf_dir: str, thin: bool = False) -> Analysis:
-    return Analysis(fixture.nodes(spark, sf_dir), fixture.components(spark, sf_dir), fixture.alignments(spark, sf_dir, thin))
+def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    return Analysis(fixture.nodes(spark, sf_dir), fixture.components(spark, sf_dir), fixture.alignments(spark, sf_dir))
 
 
 def _six(*names: str) -> list[Column]:
@@ -167,7 +152,7 @@ _WRONG = "asked AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in MISSPELLED) +
   WHERE starts_with(lower(name), lower(query)) OR levenshtein(lower(query), lower(name)) <= greatest(2, length(query) // 4))
   SELECT query, rank::INTEGER AS rank, name FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY far, cid) AS rank FROM far) WHERE rank <= 3""")
 def levenshtein_suggest(spark, sf_dir):
-    return query.suggestions(spark.createDataFrame([(n,) for n in MISSPELLED], "query string"), fixture.components(spark, sf_dir))
+    return query.suggestions(MISSPELLED, fixture.components(spark, sf_dir))
 
 
 @_query("bp_lookup", _with(_PARTS) + ", points AS (SELECT DISTINCT cid, (unnest(range(10)) * length) // 10 AS pos FROM lens) SELECT p.cid, p.pos, l.node_id, l.idx FROM points p JOIN layout l ON l.cid = p.cid AND l.bp_start <= p.pos AND p.pos < l.bp_end")
@@ -177,18 +162,13 @@ def bp_lookup(spark, sf_dir):
     return layout.node_at(a.layout(), points)
 
 
-@_query("asof_component", _with(_PARTS, _SUMMARY) + ", o AS (SELECT cid, sum(nb_nodes) OVER (ORDER BY cid) - nb_nodes AS first FROM summary), f AS (SELECT unnest(range(0, (SELECT sum(nb_nodes) FROM summary)::BIGINT, 7)) AS flat_idx) SELECT flat_idx, cid, (flat_idx - first)::BIGINT AS idx FROM f ASOF JOIN o ON flat_idx >= first")
-def asof_component(spark, sf_dir, step=7):
+@_query("asof_component", _with(_PARTS, _SUMMARY) + ", o AS (SELECT cid, sum(nb_nodes) OVER (ORDER BY cid) - nb_nodes AS first FROM summary), f AS (SELECT unnest(range(0, (SELECT sum(nb_nodes) FROM summary)::BIGINT)) AS flat_idx) SELECT flat_idx, cid, (flat_idx - first)::BIGINT AS idx FROM f ASOF JOIN o ON flat_idx >= first")
+def asof_component(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    points = a.nodes.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("flat_idx"))
+    points = a.nodes.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("flat_idx"))
     return layout.component_of(a.summary(), points)
 
 
-# The SQL of this name is bound to every seventh index; this one looks up every index.
-WHOLE["asof_component_whole"] = lambda spark, sf_dir: asof_component(spark, sf_dir, 1)
-WHOLE_ORACLE["asof_component_whole"] = ORACLE["asof_component"].replace("::BIGINT, 7)) AS flat_idx", "::BIGINT, 1)) AS flat_idx")
-
-
 @_query("query_nodes", _with(_PARTS, _CELLS) + f" SELECT node_id, idx FROM layout WHERE cid = {CID} AND (idx >= {_at('c.rs')} OR idx <= {_at('c.re')})")
 def query_nodes(spark, sf_dir):
     a = analysis(spark, sf_dir)
@@ -257,8 +237,9 @@ def node_depth(spark, sf_dir):
     return analysis(spark, sf_dir).depth()
 
 
-@_thin_and_whole("node_depth_projected", _with(_PARTS, _MAPS, _DEPTH, filter=_THIN) + " SELECT cid, idx, node_id, coalesce(depth, 0)::BIGINT AS depth FROM layout LEFT JOIN depth USING (node_id)")
-def node_depth_projected(a):
+@_query("node_depth_projected", _with(_PARTS, _MAPS, _DEPTH) + " SELECT cid, idx, node_id, coalesce(depth, 0)::BIGINT AS depth FROM layout LEFT JOIN depth USING (node_id)")
+def node_depth_projected(spark, sf_dir):
+    a = analysis(spark, sf_dir)
     laid = a.layout()
     return coverage.project_depth(laid, a.depth(laid=laid)).select("cid", "idx", "node_id", "depth")
 
@@ -287,10 +268,10 @@ def coverage_base(spark, sf_dir):
     return coverage.named_bases(a.runs(), a.components)
 
 
-@_thin_and_whole("coverage_runs", _with(*_ALL, filter=_THIN) + """, marks AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY cid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM bases),
+@_query("coverage_runs", _with(*_ALL) + """, marks AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY cid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM bases),
   runs AS (SELECT *, sum(new) OVER (PARTITION BY cid ORDER BY pos) AS run FROM marks) SELECT cid, min(pos) AS start, max(pos) + 1 AS "end", min(depth) AS depth FROM runs GROUP BY cid, run""")
-def coverage_runs(a):
-    return a.runs()
+def coverage_runs(spark, sf_dir):
+    return analysis(spark, sf_dir).runs()
 
 
 @_query("query_range", _with(_PARTS, _CELLS, *_ALL[1:], active=_STRAIGHT) + f" SELECT name AS component_name, pos AS position, depth AS coverage FROM bases JOIN comps USING (cid), c WHERE cid = {CID} AND pos BETWEEN c.qs AND c.qe")
@@ -348,9 +329,9 @@ def coverage_stats_component(spark, sf_dir):
     return _rounded(stats.component_stats(a.histogram()).join(a.components, "cid"))
 
 
-@_thin_and_whole("coverage_stats_global", _with(*_ALL, filter=_THIN) + f" SELECT {_STATS} FROM bases")
-def coverage_stats_global(a):
-    return _rounded(stats.total_stats(a.histogram()))
+@_query("coverage_stats_global", _with(*_ALL) + f" SELECT {_STATS} FROM bases")
+def coverage_stats_global(spark, sf_dir):
+    return _rounded(stats.total_stats(analysis(spark, sf_dir).histogram()))
 
 
 @_query("coverage_stats_rollup", _with(*_ALL) + f" SELECT coalesce(cid::VARCHAR, 'Total') AS label, {_STATS} FROM bases GROUP BY ROLLUP (cid)")
@@ -401,14 +382,15 @@ def smooth_circular(spark, sf_dir):
     return series.smooth(a.runs(), a.lengths(), SHARE, POINTS, circular=True).select("cid", "x", *_six("y"), "window_size")
 
 
-@_thin_and_whole("log_transform", _with(*_ALL, filter=_THIN) + f" SELECT DISTINCT depth, round(CASE WHEN depth <= 1 THEN depth::DOUBLE ELSE 1 + ln(depth) / ln({LOG_BASE}) END, 6) AS y FROM bases")
-def log_transform(a):
-    depths = a.runs().select("depth").distinct()
+@_query("log_transform", _with(*_ALL) + f" SELECT DISTINCT depth, round(CASE WHEN depth <= 1 THEN depth::DOUBLE ELSE 1 + ln(depth) / ln({LOG_BASE}) END, 6) AS y FROM bases")
+def log_transform(spark, sf_dir):
+    depths = analysis(spark, sf_dir).runs().select("depth").distinct()
     return depths.select("depth", F.round(series.log_scale(F.col("depth").cast("double"), LOG_BASE), 6).alias("y"))
 
 
-@_thin_and_whole("linear_plot_series", _with(*_ALL, _samples("lens"), _window(str(series.SMOOTHING), "lens"), _LINEAR.replace("{bases}", "bases"), filter=_THIN) + f" SELECT cid, x, round(y, 6) AS y, round(CASE WHEN y <= 1 THEN y ELSE 1 + ln(y) / ln({LOG_BASE}) END, 6) AS plot_y, window_size FROM smooth")
-def linear_plot_series(a):
+@_query("linear_plot_series", _with(*_ALL, _samples("lens"), _window(str(series.SMOOTHING), "lens"), _LINEAR.replace("{bases}", "bases")) + f" SELECT cid, x, round(y, 6) AS y, round(CASE WHEN y <= 1 THEN y ELSE 1 + ln(y) / ln({LOG_BASE}) END, 6) AS plot_y, window_size FROM smooth")
+def linear_plot_series(spark, sf_dir):
+    a = analysis(spark, sf_dir)
     return series.linear_series(a.runs(), a.lengths(), most=POINTS, log_base=LOG_BASE).select("cid", "x", *_six("y", "plot_y"), "window_size")
 
 

@@ -34,12 +34,10 @@ def _hundredths(name: str) -> Column:
     return F.round(F.col(name) * 100).cast("int")
 
 
-def alignments(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
-    """read_id and path; orders without line items are unmapped reads. thin: every sixteenth order."""
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id and path; orders without line items are unmapped reads."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"))
     items = _table(spark, sf_dir, "lineitem")
-    if thin:
-        orders, items = orders.where("read_id % 16 = 0"), items.where("l_orderkey % 16 = 0")
     sizes = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("size"))
     items = items.join(sizes, "l_partkey", "left")
     offset = F.col("l_quantity").cast("int") % 7
