@@ -82,6 +82,7 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
     p.add_argument("--no-graph", action="store_true")
     p.add_argument("--no-stats", action="store_true")
     p.add_argument("--no-table", action="store_true")
+    p.add_argument("--one-file", action="store_true", help="write the table as one file instead of a folder of parts")
     p.add_argument("--log", nargs="?", type=_number(int, 2, 10_000), const=10, metavar="BASE")
     p.add_argument("--smoothing", type=_number(float, 0.0, 1.0), default=series.SMOOTHING)
     p.add_argument("--max-points", "--max-point", type=_number(int, 0, 1 << 62), default=series.MOST_POINTS, help="0: no limit")
@@ -141,12 +142,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.query is not None:
         name, asked = args.query
         cid, name = query.resolve_component(components, name)
-        scope = query.resolve_scope(a.layout(), cid, name, asked, args.component_type == "circular")
+        scope = query.resolve_scope(nodes, cid, name, asked, args.component_type == "circular")
     runs = a.runs(args.coverage_precision, scope).persist()
     try:
         if not args.no_table:
             with step("Writing the table"):
-                files.write_table(runs, components, f"{args.output}/{files.TABLE}")
+                files.write_table(runs, components, f"{args.output}/{files.TABLE}", args.one_file)
         if not args.no_stats:
             with step("Writing the report"):
                 files.write_text(spark, files.report(a, runs, args.coverage_precision, scope), f"{args.output}/{files.REPORT}")

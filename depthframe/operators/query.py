@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .layout import node_layout
+
 MOST_SUGGESTIONS = 3
 _QUERY = re.compile(r"\s*(\S+)(?:\s+(-?\d+):(-?\d+))?\s*")
 
@@ -92,65 +94,74 @@ def origin_message(component: int | str, asked: tuple[int, int], start: int, end
     )
 
 
+def _number(query: Column) -> Column:
+    """The component number that digits mean, whatever zeros lead; null for other texts and for numbers that no component has."""
+    short = F.ltrim(query, F.lit("0"))
+    return F.when(query.rlike("^[0-9]+$") & (F.length(short) <= 9), F.concat(F.lit("0"), short).cast("int"))
+
+
 def resolve_names(asked: DataFrame, components: DataFrame) -> DataFrame:
     """asked (query) with the cid and name that it means, null if none.
 
-    Digits are a component number, whatever zeros lead; anything else is a name in any case of letters.
+    Digits are a component number; anything else is a name in any case of letters. Two
+    equi-joins, one for each kind.
     """
     digits = F.col("query").rlike("^[0-9]+$")
-    # Numbers too long for any component count as none.
-    number = F.try_to_number(F.when(F.length(F.ltrim(F.col("query"), F.lit("0"))) <= 9, F.concat(F.lit("0"), F.ltrim(F.col("query"), F.lit("0")))), F.lit("9999999999"))
-    number = F.when(digits, number)
-    rows = asked.withColumn("__number", number).withColumn("__lower", F.when(~digits, F.lower("query")))
     by = components.select("cid", "name")
-    hit = (F.col("cid") == F.col("__number")) | (F.lower("name") == F.col("__lower"))
-    return rows.join(F.broadcast(by) if _few(components) else by, hit, "left").select("query", "cid", "name")
-
-
-#: Components up to which their table goes to every task for a lookup by several conditions.
-MOST_COMPONENTS = 100_000
+    numbers = asked.where(digits).select("query", _number(F.col("query")).alias("cid")).join(by, "cid", "left")
+    numbers = numbers.select("query", F.when(F.col("name").isNotNull(), F.col("cid")).alias("cid"), "name")
+    names = asked.where(~digits | F.col("query").isNull()).select("query", F.lower("query").alias("__lower")).join(by.withColumn("__lower", F.lower("name")), "__lower", "left")
+    return numbers.unionByName(names.select("query", "cid", "name"))
 
 
-def _few(components: DataFrame) -> bool:
-    return components.limit(MOST_COMPONENTS + 1).count() <= MOST_COMPONENTS
+def suggestions(asked: Sequence[str], components: DataFrame, most: int = MOST_SUGGESTIONS) -> DataFrame:
+    """query, rank and name: names that begin with the query in order of cid, then those within a small edit distance.
 
-
-def suggestions(asked: DataFrame, components: DataFrame, most: int = MOST_SUGGESTIONS) -> DataFrame:
-    """query, rank and name: names that begin with the query in order of cid, then those within a small edit distance."""
+    asked: what a user typed, so a few texts; they are literals of one pass over the components.
+    """
+    if not asked:
+        return components.limit(0).select(F.col("name").alias("query"), F.lit(0).alias("rank"), "name")
     lower, name = F.lower("query"), F.lower("name")
     distance = F.levenshtein(lower, name)
     allowed = F.greatest(F.lit(2), F.floor(F.length("query") / 4).cast("int"))
-    rows = asked.join(components.select("cid", "name"), name.startswith(lower) | (distance <= allowed))
+    rows = components.select("cid", "name", F.explode(F.array(*map(F.lit, sorted(set(asked))))).alias("query")).where(name.startswith(lower) | (distance <= allowed))
     rows = rows.select("query", "cid", "name", F.when(name.startswith(lower), -1).otherwise(distance).alias("far"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("far", "cid"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("query", "rank", "name")
 
 
-def resolve_component(spark_components: DataFrame, query: str) -> tuple[int, str]:
-    """The cid and name that a query means; an error with suggestions if there is none."""
-    asked = spark_components.sparkSession.createDataFrame([(query,)], "query string")
-    row = resolve_names(asked, spark_components).first()
-    if row["cid"] is not None:
+def resolve_component(components: DataFrame, query: str) -> tuple[int, str]:
+    """The cid and name that a query means; an error with suggestions if there is none. One pass that filters by a literal."""
+    digits = re.fullmatch("[0-9]+", query)
+    row = components.where(F.col("cid") == _number(F.lit(query)) if digits else F.lower("name") == F.lower(F.lit(query))).select("cid", "name").first()
+    if row is not None:
         return row["cid"], row["name"]
-    if re.fullmatch("[0-9]+", query):
-        raise QueryError(f"Component number {query} is out of range ({spark_components.count()} components). Use --inspect to list them.")
-    near = [r["name"] for r in suggestions(asked, spark_components).orderBy("rank").collect()]
+    if digits:
+        raise QueryError(f"Component number {query} is out of range ({components.count()} components). Use --inspect to list them.")
+    near = [r["name"] for r in suggestions([query], components).orderBy("rank").collect()]
     raise QueryError(f"Component '{query}' was not found.\n" + ("Did you mean:\n" + "".join(f"  - {n}\n" for n in near) if near else "Use --inspect to list the components."))
 
 
-def resolve_scope(layout: DataFrame, cid: int, name: str, asked: tuple[int, int] | None, circular: bool) -> Scope:
-    """Resolves a range on the driver: a length and two nodes are looked up, the rest are literals of later plans."""
-    own = layout.where(F.col("cid") == cid)
-    length = own.agg(F.max("bp_end")).first()[0] or 0
+def resolve_scope(nodes: DataFrame, cid: int, name: str, asked: tuple[int, int] | None, circular: bool) -> Scope:
+    """Resolves a range on the driver: a length and two nodes are looked up, the rest are literals of later plans.
+
+    Only the nodes of the component are read; without a range one aggregation is all there is to do.
+    """
+    own = nodes.where(F.col("cid") == cid)
+    bases = F.col("seq_len") > 0
+    ends = own.agg(F.sum("seq_len").alias("n"), F.min(F.when(bases, F.col("idx"))).alias("lo"), F.max(F.when(bases, F.col("idx"))).alias("hi")).first()
+    length = ends["n"] or 0
     start, end = resolve_range(name, length, asked, circular)
+    if (start, end) == (0, length - 1):
+        return Scope(cid, name, length, start, end, ends["lo"], ends["hi"], ((0, length),))
     holds = lambda p: (F.col("bp_start") <= p) & (F.col("bp_end") > p)
-    nodes = own.where(holds(start) | holds(end)).select("idx", "bp_start", "bp_end").collect()
-    first, last = (next(r["idx"] for r in nodes if r["bp_start"] <= p < r["bp_end"]) for p in (start, end))
+    found = node_layout(own).where(holds(start) | holds(end)).select("idx", "bp_start", "bp_end").collect()
+    first, last = (next(r["idx"] for r in found if r["bp_start"] <= p < r["bp_end"]) for p in (start, end))
     if start <= end:
         pieces = ((start, end + 1),)
     elif first == last:
         # Only this node is active, though the range goes round the whole component.
-        pieces = ((start, nodes[0]["bp_end"]), (nodes[0]["bp_start"], end + 1))
+        pieces = ((start, found[0]["bp_end"]), (found[0]["bp_start"], end + 1))
     else:
         pieces = ((start, length), (0, end + 1))
     return Scope(cid, name, length, start, end, first, last, pieces)

@@ -37,21 +37,28 @@ def edit_walk(rows: DataFrame) -> DataFrame:
     return walked.select("read_id", "ord", "node_id", F.col("edit_idx").cast("long").alias("edit_idx"), edit["from_length"].cast("long").alias("from_length"), edit["to_length"].cast("long").alias("to_length"), F.col("z.starts").alias("walk_start"), is_deletion(edit).alias("is_deletion"))
 
 
+def _visited(path: Column) -> Column:
+    """The different positive node ids of a path."""
+    return F.array_distinct(F.filter(F.transform(path, lambda m: m["node_id"]), lambda n: n > 0))
+
+
+def _is_mapped(path: Column) -> Column:
+    return F.coalesce(F.exists(path, lambda m: m["node_id"] > 0), F.lit(False))
+
+
 def read_flags(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """read_id, mapped (a positive node id) and in_query (a node of ``nodes``) for every read.
 
-    One row of each read and node meets the nodes; reads without any are put back by the
-    aggregation, so the reads are scanned once.
+    Whether a read is mapped shows in its own row; only the ids of reads with a hit meet the reads again.
     """
-    rows = alignments.select("read_id", F.explode_outer(F.array_distinct(F.transform("path", lambda m: m["node_id"]))).alias("node_id"))
-    known = nodes.select(F.col("node_id"), F.lit(True).alias("known"))
-    rows = rows.join(known, "node_id", "left")
-    return rows.groupBy("read_id").agg(F.coalesce(F.bool_or(F.col("node_id") > 0), F.lit(False)).alias("mapped"), F.coalesce(F.bool_or((F.col("node_id") > 0) & F.col("known")), F.lit(False)).alias("in_query"))
+    hits = reads_in_query(alignments, nodes).withColumn("hit", F.lit(True))
+    rows = alignments.select("read_id", _is_mapped(F.col("path")).alias("mapped")).join(hits, "read_id", "left")
+    return rows.select("read_id", "mapped", F.coalesce("hit", F.lit(False)).alias("in_query"))
 
 
 def reads_in_query(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """read_id of the reads with a mapping on one of the nodes."""
-    rows = alignments.select("read_id", F.explode(F.transform("path", lambda m: m["node_id"])).alias("node_id")).where("node_id > 0")
+    rows = alignments.select("read_id", F.explode(_visited(F.col("path"))).alias("node_id"))
     return rows.join(nodes.select("node_id"), "node_id", "left_semi").select("read_id").distinct()
 
 
@@ -59,8 +66,14 @@ def _percent(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, 100.0 * F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
 
-def mapping_stats(flags: DataFrame) -> DataFrame:
-    """One row: total, mapped, mapped_to_query and unmapped reads, with percentages (0 of nothing is 0)."""
-    one = flags.agg(F.count("*").alias("total"), F.count_if("mapped").alias("mapped"), F.count_if(F.col("mapped") & F.col("in_query")).alias("mapped_to_query"))
-    one = one.withColumn("unmapped", F.col("total") - F.col("mapped"))
-    return one.select("*", _percent("mapped", "total").alias("pct_mapped"), _percent("mapped_to_query", "total").alias("pct_query_total"), _percent("mapped_to_query", "mapped").alias("pct_query_mapped"), _percent("unmapped", "total").alias("pct_unmapped"))
+def mapping_stats(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: total, mapped, mapped_to_query and unmapped reads, with percentages (0 of nothing is 0).
+
+    Reads are counted where they are; only the ids of those with a hit on ``nodes`` are shuffled.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counted = alignments.select(one.alias("t"), F.when(_is_mapped(F.col("path")), one).otherwise(none).alias("m"), none.alias("q"))
+    counted = counted.unionByName(reads_in_query(alignments, nodes).select(none.alias("t"), none.alias("m"), one.alias("q")))
+    rows = counted.agg(*(F.coalesce(F.sum(c), none).alias(name) for c, name in (("t", "total"), ("m", "mapped"), ("q", "mapped_to_query"))))
+    rows = rows.withColumn("unmapped", F.col("total") - F.col("mapped"))
+    return rows.select("*", _percent("mapped", "total").alias("pct_mapped"), _percent("mapped_to_query", "total").alias("pct_query_total"), _percent("mapped_to_query", "mapped").alias("pct_query_mapped"), _percent("unmapped", "total").alias("pct_unmapped"))

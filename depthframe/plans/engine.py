@@ -51,7 +51,7 @@ class Analysis:
 
     def mapping_stats(self, scope: query.Scope | None = None) -> DataFrame:
         active = self.nodes if scope is None else self.nodes.where(scope.active())
-        return reads.mapping_stats(reads.read_flags(self.alignments, active))
+        return reads.mapping_stats(self.alignments, active)
 
     def histogram(self, precision: str = "base", scope: query.Scope | None = None) -> DataFrame:
         return stats.depth_histogram(self.runs(precision, scope))
@@ -60,4 +60,4 @@ class Analysis:
         """Resolves a query as a user writes it."""
         component, asked = query.parse_query(text)
         cid, name = query.resolve_component(self.components, component)
-        return query.resolve_scope(self.layout(), cid, name, asked, circular)
+        return query.resolve_scope(self.nodes, cid, name, asked, circular)

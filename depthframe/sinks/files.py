@@ -15,26 +15,60 @@ TABLE, REPORT, GRAPH = "coverage_profile.tsv", "coverage_stats.txt", "coverage_g
 COLUMNS = ("component_name", "position", "coverage")
 
 
-def write_table(runs: DataFrame, components: DataFrame, folder: str) -> None:
-    """The depth of every base, tab-separated with a header, in order of component and position.
+#: Sorts before the parts that Spark writes, so the parts one after the other are the table with one header.
+HEADER = "part-0000-header.csv"
 
-    Runs are sorted by ranges before their bases are made, so the sort moves no base; the
-    parts of the folder follow each other in order.
+
+def write_table(runs: DataFrame, components: DataFrame, target: str, one_file: bool = False) -> None:
+    """The depth of every base, tab-separated with one header, in order of component and position.
+
+    Runs are sorted by ranges before their bases are made, so the sort moves no base. The target is a
+    folder whose parts follow each other in order, the header first; with one_file these are joined to a file.
     """
     if components.where("name is null or name = ''").limit(1).count():
         raise ValueError("A component has no name.")
+    spark = runs.sparkSession
     named = runs.join(components.select("cid", "name"), "cid").repartitionByRange("cid", "start").sortWithinPartitions("cid", "start")
     rows = named.select(F.col("name").alias("component_name"), F.explode(F.sequence("start", F.col("end") - 1)).alias("position"), F.col("depth").alias("coverage"))
-    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(folder)
+    folder = f"{target}.parts" if one_file else target
+    rows.write.mode("overwrite").option("sep", "\t").option("emptyValue", "").csv(folder)
+    write_text(spark, "\t".join(COLUMNS) + "\n", f"{folder}/{HEADER}")
+    if one_file:
+        join_parts(spark, folder, target)
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One file of the parts of a folder in order; the folder goes. The bytes stay within Hadoop's file systems."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, path = hadoop.fs.Path(folder), hadoop.fs.Path(target)
+    store = source.getFileSystem(conf)
+    names = sorted(s.getPath().getName() for s in store.listStatus(source) if s.getPath().getName().startswith("part-"))
+    if store.exists(path):
+        store.delete(path, True)
+    out = store.create(path, True)
+    try:
+        for name in names:
+            part = store.open(hadoop.fs.Path(source, name))
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    store.delete(source, True)
 
 
 def write_text(spark: SparkSession, content: str, path: str) -> None:
     """A small text by Hadoop's file systems, wherever the path is."""
+    write_bytes(spark, content.encode(), path)
+
+
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(content.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 

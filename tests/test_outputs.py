@@ -23,12 +23,10 @@ def folder(spark, tmp_path):
 
 
 def table(path):
-    out = []
-    for part in sorted(glob.glob(f"{path}/part-*")):
-        lines = open(part).read().splitlines()
-        assert not lines or lines[0] == "component_name\tposition\tcoverage"
-        out += lines[1:]
-    return out
+    parts = sorted(glob.glob(f"{path}/part-*")) or [str(path)]
+    lines = [x for part in parts for x in open(part).read().splitlines()]
+    assert lines[0] == "component_name\tposition\tcoverage" and lines[0] not in lines[1:]
+    return lines[1:]
 
 
 def test_table_has_every_base_in_order(spark, tmp_path):
@@ -38,6 +36,15 @@ def test_table_has_every_base_in_order(spark, tmp_path):
     assert table(tmp_path / "t") == [f"chr1\t{i}\t{d}" for i, d in enumerate(depth)] + [f"chr2\t{i}\t{int(i < 50)}" for i in range(100)]
 
 
+def test_table_as_one_file(spark, tmp_path):
+    a = analysis(spark, TWO, PATHS)
+    for _ in range(2):  # the second one replaces the first
+        files.write_table(a.runs("node"), a.components, str(tmp_path / "t.tsv"), one_file=True)
+    assert (tmp_path / "t.tsv").is_file() and not (tmp_path / "t.tsv.parts").exists()
+    files.write_table(a.runs("node"), a.components, str(tmp_path / "t"))
+    assert table(tmp_path / "t.tsv") == table(tmp_path / "t") and len(table(tmp_path / "t.tsv")) == 400
+
+
 def test_table_of_a_query_keeps_positions(spark, tmp_path):
     a = analysis(spark, TWO, PATHS)
     files.write_table(a.runs("node", a.scope("chr1 99:101")), a.components, str(tmp_path / "t"))

@@ -13,7 +13,7 @@ CASES = [  # asked, circular, bases, ranks of nodes
 
 @pytest.mark.parametrize(("asked", "circular", "bases", "ranks"), CASES)
 def test_ranges(spark, asked, circular, bases, ranks):
-    s = query.resolve_scope(analysis(spark, THREE).layout(), 0, "chrX", asked, circular)
+    s = query.resolve_scope(analysis(spark, THREE).nodes, 0, "chrX", asked, circular)
     assert ((s.start, s.end), (s.first_idx, s.last_idx)) == (bases, ranks)
 
 
@@ -56,6 +56,16 @@ def test_names_and_numbers(spark):
 
 def test_suggestions_are_few_and_different(spark):
     a = analysis(spark, {f"chr{i}": [(i, 0, 1)] for i in range(1, 8)})
-    asked = spark.createDataFrame([("chr",), ("chx1",)], "query string")
-    got = [(r["query"], r["rank"], r["name"]) for r in query.suggestions(asked, a.components).orderBy("query", "rank").collect()]
+    got = [(r["query"], r["rank"], r["name"]) for r in query.suggestions(["chr", "chx1", "chr"], a.components).orderBy("query", "rank").collect()]
     assert got == [("chr", 1, "chr1"), ("chr", 2, "chr2"), ("chr", 3, "chr3"), ("chx1", 1, "chr1"), ("chx1", 2, "chr2"), ("chx1", 3, "chr3")]
+    assert query.suggestions([], a.components).count() == 0
+
+
+def test_lookups_are_no_nested_loops(spark):
+    a = analysis(spark, {f"chr{i}": [(i, 0, 1)] for i in range(1, 8)})
+    asked = spark.createDataFrame([("CHR3",), ("003",), ("nothing",), ("99",)], "query string")
+    found = query.resolve_names(asked, a.components)
+    assert {r["query"]: (r["cid"], r["name"]) for r in found.collect()} == {"CHR3": (2, "chr3"), "003": (3, "chr4"), "nothing": (None, None), "99": (None, None)}
+    for df in (found, query.suggestions(["chr"], a.components)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
