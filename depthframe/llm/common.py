@@ -71,9 +71,9 @@ atexit.register(_clear)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, one in the warehouse, which all share as well."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "/tmp/checkpoints"
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -89,6 +89,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``checkpointed`` made and that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            for spark, own in _FOLDERS:
+                if folder.endswith(own.rpartition("/")[2]):
+                    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,7 +40,7 @@ def test_repeated_windows(texts, width):
     assert [g.tolist() for g in got] == [[count[x[i : i + width]] > 1 for i in range(len(x) - width + 1)] for x in texts]
 
 
-def brute(texts, width=superstrings.LENGTH):
+def covered(texts, width):
     raws = [(t or "").encode() for t in texts]
     count = Counter(x[i : i + width] for x in raws for i in range(len(x) - width + 1))
     out = []
@@ -49,13 +50,24 @@ def brute(texts, width=superstrings.LENGTH):
             if count[x[i : i + width]] > 1:
                 gone[i] += 1
                 gone[i + width] -= 1
-        covered = np.cumsum(gone)[:-1] > 0
-        runs = int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum())
-        kept = np.frombuffer(x, np.uint8)[~covered].tobytes()
-        out.append((len(x), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        out.append(np.cumsum(gone)[:-1] > 0)
     return out
 
 
+def brute(texts):
+    """n_bytes, n_removed, n_spans, kept_sha256 and n_repeated."""
+    out = []
+    for t, gone, again in zip(texts, covered(texts, superstrings.LENGTH), covered(texts, superstrings.REPEAT), strict=True):
+        raw = (t or "").encode()
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest(), int(again.sum())))
+    return out
+
+
+def of(row):
+    return row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"], row["n_repeated"]
+
+
 def texts():
     rng = random.Random(5)
     fresh = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
@@ -63,7 +75,7 @@ def texts():
     edited = [base[:k] + "X" + base[k + 1 :] for k in (0, 200, 399, 400, 700, 1499)]
     return [
         base, base, *edited, fresh(399), fresh(400), fresh(100) + passage + fresh(50), passage + fresh(90), fresh(900), "ab" * 600, "a" * 1000, "a" * 400, fresh(20) + "a" * 400, "x" * 399, "", None,
-        fresh(300) + base[100:499], fresh(300) + base[100:530], base[700:1200] + fresh(100) + base[700:1200], "xyz " * 300 + fresh(50), fresh(700) * 2,
+        fresh(300) + base[100:499], fresh(300) + base[100:530], base[700:1200] + fresh(100) + base[700:1200], fresh(300) + base[900:1160] + fresh(80), fresh(40) + base[900:1155] + fresh(80), "xyz " * 300 + fresh(50), fresh(700) * 2,
     ]
 
 
@@ -73,9 +85,21 @@ def test_against_brute_force(spark, monkeypatch, most, scan, shard):
     monkeypatch.setattr(superstrings, "SCAN", scan)
     monkeypatch.setattr(superstrings, "SHARD", shard)
     rows = list(enumerate(texts()))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in superstrings.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: of(r) for r in superstrings.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     expected = brute([t for _, t in rows])
-    assert [got[i] for i, _ in rows] == expected and sum(e[1] > 0 for e in expected) > 12
+    assert [got[i] for i, _ in rows] == expected and sum(e[1] > 0 for e in expected) > 12 and sum(e[4] > e[1] for e in expected) > 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(min_size=0, max_size=63), st.binary(min_size=0, max_size=63))
+def test_finer_parts_keep_all_windows(before, after):
+    """Each window is in one fine part, with the bytes that it had."""
+    if superstrings._windows(before, after, superstrings.STRIDE) < 1:
+        return
+    batch = pa.RecordBatch.from_arrays([pa.array([x]) for x in (7, 1, 100, True, before, after)], ["shared", "key", "first", "once", "before", "after"])
+    rows = [r for b in superstrings._finer([batch]) for r in b.to_pylist()]
+    starts = [r["first"] + i for r in rows for i in range(superstrings._windows(r["before"], r["after"], superstrings.FINE))]
+    assert sorted(starts) == list(range(100, 100 + superstrings._windows(before, after, superstrings.STRIDE)))
 
 
 def test_equal_windows_have_equal_anchors():
@@ -84,7 +108,7 @@ def test_equal_windows_have_equal_anchors():
     a, b = bytes(rng.randrange(97, 101) for _ in range(150)) + shared, shared + b"zz"
 
     def owner(raw):
-        at, lo, hi = superstrings.anchors(np.frombuffer(raw, np.uint8), np.array([len(raw)]), np.array([0]))
+        at, lo, hi = superstrings.anchors(np.frombuffer(raw, np.uint8), np.array([len(raw)]), np.array([0]), superstrings.Frame(400))
         return {p: int(c) for c, x, y in zip(at, lo, hi, strict=True) for p in range(x, y + 1)}
 
     one, two = owner(a), owner(b)
@@ -92,7 +116,7 @@ def test_equal_windows_have_equal_anchors():
 
 
 def test_query_over_all_documents(spark, sf_dir, documents):
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op6_suffixes(spark, sf_dir).collect()}
+    got = {r["doc_id"]: of(r) for r in queries.op6_suffixes(spark, sf_dir).collect()}
     assert [got[d[0]] for d in documents] == brute([d[1] for d in documents])
 
 
