@@ -2,15 +2,17 @@
 
 Texts become sets of hashes of WORDS words in a row. Texts with equal sets are one node of a
 graph, so copies are counted and never compared. Bands of MinHash values give each node
-keys; nodes that share a key, directly or through others, form a group. Two texts of
-similarity 0.8 share none of the keys with a probability under 1e-6.
+keys; two texts of similarity 0.8 share none of the keys with a probability under 1e-6.
 
-Within a group the MinHash values of pairs are compared step by step. The posterior of the
+Only nodes that share a key are compared, MinHash value by MinHash value. The posterior of the
 similarity, from an even prior, after m of n values agreed, gives the probability that it
-reaches the threshold; a pair is dropped when that falls below TOLERANCE. The pairs that are
-left are verified on the whole sets. Large groups are dealt into blocks of nodes, and each
-pair of blocks is a task of its own: no task holds more than two blocks, and no pair leaves
-its task, only counts of links and one edge for each node.
+reaches the threshold; a pair is dropped when that falls below TOLERANCE. That is done twice.
+First over sketches (a byte of each value), key by key; keys with the same members are one,
+and pairs that are connected already need no comparison. What stays connects nodes to groups.
+Then within a group, over whole values, for all pairs that share a key; the pairs that are
+left are verified on the whole sets. Large keys and large groups are dealt into blocks of
+nodes, and each pair of blocks is a task of its own: no task holds more than two blocks, and
+no pair leaves its task, only counts of links and one edge for each node.
 
 Defined results: words are runs of letters and digits in lower case; a text of fewer than
 WORDS words has one shingle, all its words; null texts and texts without words are copies of
@@ -35,8 +37,10 @@ WORDS, THRESHOLD = 5, 0.8
 #: Bands of ROWS values each: a pair of similarity 0.8 misses all with probability (1 - 0.8 ** 5) ** 36 = 6e-7.
 ROWS, BANDS = 5, 36
 TOLERANCE = 1e-7
-#: Values compared in a step, and nodes in a block.
-STEP, BLOCK = 20, 256
+#: Values compared in a step, nodes in a block of a group, and in a block of a key.
+STEP, BLOCK, SKETCHES = 20, 256, 4096
+#: A node with more rows than this, and than this share of all rows, is joined on its own; there are fewer than 1 / share of them.
+HOT_ROWS, HOT_SHARE = 10_000, 0.001
 _WORD = re.compile(r"\w+")
 _N = ROWS * BANDS
 
@@ -154,24 +158,43 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9
 
 
+def unpruned(values: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of the others that may reach the threshold with i, given all their values."""
+    agree = np.zeros(len(others), np.int64)
+    for n in range(STEP, _N + 1, STEP):
+        if not len(others):
+            break
+        agree += (values[others, n - STEP : n] == values[i, n - STEP : n]).sum(1)
+        stay = agree >= _LEAST[n]
+        others, agree = others[stay], agree[stay]
+    return others
+
+
 def link(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each i of left, the members of right (greater than i where both are the same block) that it is linked with."""
     same = left is right
-    sizes = np.array([len(s) for s in sets])
+    sizes, keys = np.array([len(s) for s in sets]), band_keys(values)
     for k, i in enumerate(left):
         others = right[k + 1 :] if same else right
         others = others[np.minimum(sizes[others], sizes[i]) >= THRESHOLD * np.maximum(sizes[others], sizes[i])]
-        agree = np.zeros(len(others), np.int64)
-        for n in range(STEP, _N + 1, STEP):
-            if not len(others):
-                break
-            agree += (values[others, n - STEP : n] == values[i, n - STEP : n]).sum(1)
-            stay = agree >= _LEAST[n]
-            others, agree = others[stay], agree[stay]
+        others = unpruned(values, i, others[(keys[others] == keys[i]).any(1)])
         if len(others):
             yield int(i), verified(sets, int(i), others)
 
 
+def connect(sketches: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of left and right connect which pruning leaves: fewer than there are members."""
+    same, edges = left is right, []
+    label = np.arange(len(sketches))
+    for k, i in enumerate(left):
+        others = right[k + 1 :] if same else right
+        for j in unpruned(sketches, i, others[label[others] != label[i]]).tolist():
+            if label[j] != label[i]:
+                edges.append((int(i), j))
+                label[label == label[j]] = label[i]
+    return edges
+
+
 def verified(sets: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
     """Those of the others whose Jaccard index with i reaches the threshold, on whole sets."""
     sizes = np.array([len(sets[j]) for j in others])
@@ -185,71 +208,105 @@ def verified(sets: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, version, node and keys for every row of docs."""
+    """id, version, node, keys and sketch for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Words()
         for batch in pieces(batches, "text"):
             sets = [shingles(vocabulary.hashes(t)) for t in batch.column("text").to_pylist()]
-            keys = band_keys(signature(sets)).view(np.int64)
+            values = signature(sets)
+            keys = band_keys(values).view(np.int64)
+            sketches = [x.tobytes() for x in (values & np.uint32(0xFF)).astype(np.uint8)]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array([set_key(s) for s in sets], pa.int64()), flat], ["id", "version", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array([set_key(s) for s in sets], pa.int64()), flat, pa.array(sketches, pa.binary())], ["id", "version", "node", "keys", "sketch"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
-    return map_batches(src, run, "id long, version long, node long, keys array<long>")
+    return map_batches(src, run, "id long, version long, node long, keys array<long>, sketch binary")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], columns: tuple[str, ...], solve) -> Iterator[pa.RecordBatch]:
+    """solve(key, rows) for each run of equal keys with more than one row; of rows with equal first columns (block, node) one stays."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*key, *columns)), strict=True):
+            if row[: len(key)] != at:
+                if len(rows) > 1 and (out := solve(at, rows)):
+                    yield out
+                at, rows = row[: len(key)], []
+            row = row[len(key) :]
+            if not rows or rows[-1][:2] != row[:2]:
+                rows.append(row)
+    if len(rows) > 1 and (out := solve(at, rows)):
+        yield out
+
+
+def _in_blocks(rows: DataFrame, key: str, size: str, block: int, n: int) -> DataFrame:
+    """Rows (key, node, size, ...) dealt so that each block of a key's nodes meets itself and every other block once: x, y, block."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "blocks", size)
+    return dealt.repartition(n, key, "x", "y").sortWithinPartitions(key, "x", "y", "block", "node")
+
+
+def _sides(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both blocks; the same array if it is one block."""
+    blocks = np.array([r[0] for r in rows])
+    left = np.flatnonzero(blocks == key[1])
+    return left, left if key[1] == key[2] else np.flatnonzero(blocks == key[2])
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """a and b: edges that connect the nodes which share a key and which pruning on sketches leaves."""
+    n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("size > 1")
+    # Near copies share many keys: of keys with the same members one is enough.
+    shared = shared.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
+    rows = keys.join(shared, "key").join(nodes.select("node", "sketch"), "node")
+
+    def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+        edges = connect(np.stack([np.frombuffer(r[2], np.uint8) for r in rows]), *_sides(key, rows))
+        names = [r[1] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([names[e[k]] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]) if edges else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _grouped(batches, ("key", "x", "y"), ("block", "node", "sketch"), solve)
+
+    return map_batches(_in_blocks(rows, "key", "size", SKETCHES, n), run, "a long, b long")
+
+
+def _of_rows(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
+    """members (id, version and others) with the text of the row of that id and version: no text that is there often meets in one place."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__version"), F.col(f"`{text_col}`").alias("text"))
+    return src.join(members, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__version") == F.col("version"))).drop("__id", "__version", "id", "version")
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
     """node, links (verified links to other nodes) and root (a node linked with it, itself through others) by task.
 
-    members: id and version of a row that has the node's text, node, label (its group), block and blocks.
+    members: id and version of a row that has the node's text, node, label (its group) and size (of the group).
     """
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
-    texts = src.join(members.withColumnRenamed("id", "mid"), ["version"]).where(F.col("id").eqNullSafe(F.col("mid"))).select("node", "label", "block", "blocks", "text")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Words()
         for batch in pieces(batches, "text"):
             sets = [shingles(vocabulary.hashes(t)) for t in batch.column("text").to_pylist()]
             values = signature(sets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "block", "blocks")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "label", "block", "blocks", "shingles", "minhash"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "size")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "label", "size", "shingles", "minhash"])
 
-    ready = map_batches(texts, prepare, "node long, label long, block int, blocks int, shingles binary, minhash binary")
-    # Each block meets itself and every other block of its group once.
-    dealt = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "blocks")
+    texts = _of_rows(docs, id_col, text_col, members).select("node", "label", "size", "text")
+    ready = map_batches(texts, prepare, "node long, label long, size long, shingles binary, minhash binary")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n, "label", "x", "y").sortWithinPartitions("label", "x", "y", "block", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        yield from _grouped(batches, ("label", "x", "y"), ("block", "node", "shingles", "minhash"), _solve)
 
-        def done() -> pa.RecordBatch | None:
-            return _solve(key, rows) if len(rows) > 1 else None
+    return map_batches(_in_blocks(ready, "label", "size", BLOCK, n), run, "node long, links long, root long")
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("label", "x", "y", "block", "node", "shingles", "minhash")]
-            for label, x, y, *row in zip(*cols, strict=True):
-                if (label, x, y) != key:
-                    if out := done():
-                        yield out
-                    key, rows = (label, x, y), []
-                # A node whose row is there twice comes twice in a row.
-                if not rows or rows[-1][1] != row[1]:
-                    rows.append(row)
-        if out := done():
-            yield out
 
-    return map_batches(dealt, run, "node long, links long, root long")
-
-
-def _solve(key: tuple[int, int, int], rows: list) -> pa.RecordBatch | None:
-    _, x, y = key
+def _solve(key: tuple[int, int, int], rows: list[tuple]) -> pa.RecordBatch | None:
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     values = np.stack([np.frombuffer(r[3], np.uint32) for r in rows])
-    blocks = np.array([r[0] for r in rows])
-    left = np.flatnonzero(blocks == x)
-    right = left if x == y else np.flatnonzero(blocks == y)
     count = np.zeros(len(rows), np.int64)
     parent = list(range(len(rows)))
 
@@ -259,7 +316,7 @@ def _solve(key: tuple[int, int, int], rows: list) -> pa.RecordBatch | None:
             i = parent[i]
         return i
 
-    for i, others in link(sets, values, left, right):
+    for i, others in link(sets, values, *_sides(key, rows)):
         count[i] += len(others)
         count[others] += 1
         for j in others.tolist():
@@ -273,6 +330,16 @@ def _solve(key: tuple[int, int, int], rows: list) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in hit], pa.int64()), pa.array(count[hit]), pa.array([nodes[top(i)] for i in hit], pa.int64())], ["node", "links", "root"])
 
 
+def _back_to_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (with node) and what named says of the node. Nodes that very many rows have, a bounded number, are broadcast."""
+    most = max(HOT_ROWS, int(HOT_SHARE * rows.count()))
+    hot = [r["node"] for r in named.where(F.col("n_copies") >= most).select("node").collect()]
+    if not hot:
+        return rows.join(named, "node")
+    is_hot = F.col("node").isin(hot)
+    return rows.where(~is_hot).join(named.where(~is_hot), "node").unionByName(rows.where(is_hot).join(F.broadcast(named.where(is_hot)), "node"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id, version (a hash of its text), node, label (of its class), class_id, n_copies and n_links.
 
@@ -281,23 +348,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     which the row's own has a similarity of at least THRESHOLD.
     """
     rows = checkpointed(_nodes(docs, id_col, text_col))
-    nodes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "version", "keys")).alias("first")).select("node", "copies", "first.*"))
-    # Keys that several nodes have; a key's smallest node stands for it, so a key of n nodes gives n edges.
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    edges = keys.join(shared, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(edges)
+    nodes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "version", "keys", "sketch")).alias("first")).select("node", "copies", "first.*"))
+    groups = components(_candidates(nodes))
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    dealt = groups.join(sizes, "label").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = dealt.join(nodes.select("node", "id", "version"), "node").select("id", "version", "node", "label", "block", "blocks")
+    members = groups.join(sizes, "label").join(nodes.select("node", "id", "version"), "node").select("id", "version", "node", "label", "size")
     found = checkpointed(_links(docs, id_col, text_col, members))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "copies", "id").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(lowest, "label").select("node", "label", "class_id", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("id", "version", "node").join(named, "node")
+    return _back_to_rows(rows.select("id", "version", "node"), checkpointed(named))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +366,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = join(docs, id_col, text_col)
     keep = joined.groupBy("label").agg(F.min(F.struct("id", "version")).alias("first"), F.count("*").alias("n")).select(F.col("first.id").alias("__id"), F.col("first.version").alias("__version"))
     version = F.xxhash64(F.col(f"`{text_col}`"))
-    kept = docs.withColumn("__version", version).join(keep, ["__version"]).where(F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
+    kept = docs.withColumn("__v", version).join(keep, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")))
     # Rows that are there more than once: the smallest of their other columns stays.
     others = [F.col(f"`{c}`") for c in docs.columns]
     twice = kept.groupBy("__id", "__version").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

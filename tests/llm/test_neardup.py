@@ -77,9 +77,11 @@ def test_minhash_estimates_the_index():
     assert abs((v[0] == v[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.1
 
 
-@pytest.mark.parametrize("block", [8, 10_000])
-def test_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(8, 1), (10_000, 10_000)])
+def test_against_all_pairs(spark, monkeypatch, block, hot):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SKETCHES", block)
+    monkeypatch.setattr(neardup, "HOT_ROWS", hot)
     texts = near_copies(60) + near_copies(40, 60, 6, 2) + near_copies(10, 30, 1, 3) * 2 + [f"unique text number {k} of this test" for k in range(30)] + ["a b c", "a b c d", "a b c"]
     rows = list(enumerate(texts))
     random.Random(0).shuffle(rows)
@@ -88,6 +90,65 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert got == expected and max(e[2] for e in expected.values()) > 20
 
 
+def test_only_pairs_that_share_a_key_are_compared():
+    """A chain of texts, each like the next one at about 0.58: its ends have nothing in common, and no group grows from it."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400 * 30 + 110)]
+    vocabulary = neardup.Words()
+    sets = [neardup.shingles(vocabulary.hashes(" ".join(words[30 * k : 30 * k + 110]))) for k in range(400)]
+    values = neardup.signature(sets)
+    keys = neardup.band_keys(values)
+    pairs = {(i, j) for i in range(400) for j in range(i + 1, 400) if (keys[i] == keys[j]).any()}
+    asked = Counter()
+    whole = neardup.unpruned
+
+    def counted(v, i, others):
+        asked.update((min(i, j), max(i, j)) for j in others.tolist())
+        return whole(v, i, others)
+
+    neardup.unpruned = counted
+    try:
+        every = np.arange(400)
+        assert not any(len(others) for _, others in neardup.link(sets, values, every, every))
+        assert set(asked) == pairs and max(asked.values()) == 1
+        sketches = (values & np.uint32(0xFF)).astype(np.uint8)
+        edges = [e for k in range(neardup.BANDS) for key in np.unique(keys[:, k]) if len(m := np.flatnonzero(keys[:, k] == key)) > 1 for e in neardup.connect(sketches, m, m)]
+        assert set(asked) <= pairs | {tuple(e) for e in edges} and len(set(edges)) < len(pairs) / 4
+    finally:
+        neardup.unpruned = whole
+
+
+def test_connect_keeps_what_pairs_connect():
+    rng = np.random.default_rng(8)
+    for same in (True, False):
+        base = rng.integers(0, 256, (6, neardup._N), np.uint8)
+        rows = []
+        for k in range(60):
+            r = base[k % 6].copy()
+            r[rng.random(neardup._N) < rng.choice([0.05, 0.15, 0.5])] = 255
+            rows.append(r)
+        v = np.stack(rows)
+        left = np.arange(60) if same else np.arange(30)
+        right = left if same else np.arange(30, 60)
+        full, got = [], neardup.connect(v, left, right)
+        for i in left.tolist():
+            full += [(i, j) for j in neardup.unpruned(v, i, right[right > i] if same else right).tolist()]
+
+        def groups(edges):
+            parent = list(range(60))
+
+            def top(i):
+                while parent[i] != i:
+                    i = parent[i]
+                return i
+
+            for a, b in edges:
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+            return [top(i) for i in range(60)]
+
+        assert groups(got) == groups(full) and len(got) < len(full)
+
+
 def test_components(spark):
     rng = random.Random(7)
     for edges in ([(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 40)] + [(100, 101), (5, 5)]):
