@@ -16,19 +16,14 @@ def placed(spark, text):
 
 
 def by_hand(spark, text):
-    """The kept k-mers, from Spark's hashes of words alone."""
-    parts = text.split()
-    n = len(parts)
-    pairs = [(parts[i], parts[i + 1]) for i in range(n - 1)]
-    if not pairs:
-        return []
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    m = [r["h"] for r in df.select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).orderBy("i").collect()]
-    inner = syncmers.K - 1
-    return [i for i in range(n - syncmers.K + 1) if min(m[i : i + inner]) in (m[i], m[i + inner - 1])]
-
-
-@pytest.mark.parametrize("n", [40, 200, 1000])
+    """The first words of the kept k-mers, from Spark's hashes of words alone; empty places have the hash 0."""
+    edge, parts = syncmers.K - 1, text.split() or [""]
+    h = [0] * edge + [r[0] for r in spark.createDataFrame(list(enumerate(parts)), "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()] + [0] * edge
+    m = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(zip(h, h[1:], strict=False))], "i int, a long, b long").orderBy("i").select(F.xxhash64("a", "b")).collect()]
+    return [i - edge for i in range(len(h) - syncmers.K + 1) if min(m[i : i + edge]) in (m[i], m[i + edge - 1])]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 31, 33, 200, 1000])
 def test_closed_syncmers_by_hand(spark, n):
     text = " ".join(words(random.Random(n), n))
     assert [w for w, _ in placed(spark, text)] == by_hand(spark, text)
@@ -47,6 +42,15 @@ def test_some_anchor_in_every_window(spark):
     assert places[0] < syncmers.K and all(b - a < syncmers.K for a, b in zip(places, places[1:], strict=False))
 
 
+@pytest.mark.parametrize("n", [12, 31, 32, 33, 40])
+def test_texts_of_any_length_have_anchors_of_one_kind(spark, n):
+    """A text of n words and one of two words more share the anchors of what they share."""
+    text = words(random.Random(n), n + 2)
+    short, long = placed(spark, " ".join(text[:n])), placed(spark, " ".join(text))
+    inner = lambda found: {x for x in found if x[0] <= n - syncmers.K}
+    assert inner(short) == inner(long) and len(inner(short)) >= n / 4 - 1
+
+
 def test_likeness(spark):
     rng = random.Random(3)
     text = words(rng, 400)
@@ -71,11 +75,11 @@ def test_query_over_all_documents(spark, sf_dir, documents):
             assert r["near_edited"] > max(0.02, r["near_next"])
 
 
-@pytest.mark.parametrize("bucket", [1, 200, 1 << 20])
-def test_next_document_over_buckets(spark, bucket):
-    ids = [7, 3, 3, 100, 5, -2, 60, 61, 62, None]
+@pytest.mark.parametrize(("bucket", "knots"), [(1, 4), (1, 256), (200, 2), (1 << 20, 256)])
+def test_next_document_over_buckets(spark, bucket, knots):
+    ids = [7, 3, 3, 100, 5, -2, 60, 61, 62, None, 1 << 62, None, -(1 << 63)]
     docs = spark.createDataFrame([(i, f"text {k} " * 8) for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["next_text"]) for r in syncmers.with_next(docs, bucket_bytes=bucket).collect()))
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["next_text"]) for r in syncmers.with_next(docs, bucket_bytes=bucket, knots=knots).collect()))
     assert [r[3] for r in rows] == [r[2] for r in rows[1:]] + [rows[0][2]]
 
 
