@@ -388,7 +388,8 @@ def _covered(src: DataFrame, length: int) -> DataFrame:
     found = checkpointed(_scan(src, frame))
     known = found.where("core is not null").select("key", "core", "piece", "place")
     times = F.col("place").bitwiseAND(F.lit(1)) + 1
-    cores = known.groupBy("core").agg(F.sum(times).alias("n")).where("n > 1").select("core")
+    # A table of its own, so that the join has two plain sides and Spark can split a core that very many rows have.
+    cores = checkpointed(known.groupBy("core").agg(F.sum(times).alias("n")).where("n > 1").select("core"))
     hits = checkpointed(known.join(cores, "core"))
     kinds = checkpointed(hits.groupBy("core", "piece").agg(F.sum(times).alias("n"), F.min(F.struct("key", "place")).alias("first")))
     # Every row of a piece that is there twice; of each kind of a core with several, one row.
@@ -401,7 +402,7 @@ def _covered(src: DataFrame, length: int) -> DataFrame:
     mixed = kinds.join(several, "core").select("first.key", F.lit(None).cast("array<bigint>").alias("whole"), F.struct("first.place", "n", "hot").alias("open"))
     marks = whole.unionByName(local).unionByName(mixed).groupBy("key").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.collect_list("open").alias("open"))
     marked = checkpointed(src.join(marks, "key"))
-    forget(found, hits, kinds, several)
+    forget(found, cores, hits, kinds, several)
     parts = _extract(marked, frame)
     if some_hot:
         parts = checkpointed(parts)
