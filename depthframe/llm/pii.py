@@ -50,7 +50,9 @@ _SPELLED = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
-_DOTS, _ATS, _PLUS, _DASH = "dot|point|punkt|punto", "at|arroba|chez|ät", "plus|más", "dash|hyphen|minus"
+_DOTS, _ATS, _PLUS, _DASH = "dot|point|punkt|punto", "at|arroba|arobase|ät", "plus|más", "dash|hyphen|minus"
+# The last labels of hosts for which bare words are taken as signs. Labels that are frequent words are not among them.
+_LAST = "com|net|org|edu|gov|mil|info|biz|io|dev|eu|uk|ca|au|nz|de|fr|ch|nl|pl|pt|dk|fi|gr|cz|ru|cn|jp|kr|br|mx|ar|cl|co|pe|localhost|invalid"
 _SPACE = r"[ \t ]"
 #: Stands for a dot that a disguise gave; a bare "at" is taken only before such a dot.
 _MARK = ""
@@ -63,7 +65,7 @@ _PLUS_RULE = re.compile(rf"(?<!\w)(?:{_PLUS}){_SPACE}+(?=[0-9])", re.I)
 _DASH_RULE = re.compile(rf"(?<=[0-9]){_SPACE}*(?:{_DASH}){_SPACE}*(?=[0-9])", re.I)
 _DOT_RULE = re.compile(rf"(?<=[A-Za-z0-9])(?:{_SPACE}*[\[({{<]{_SPACE}*(?:{_DOTS}|\.){_SPACE}*[\])}}>]{_SPACE}*|{_SPACE}+(?:{_DOTS}){_SPACE}+|[_-](?:{_DOTS})[_-])(?=[A-Za-z0-9])", re.I)
 _HOST = rf"[A-Za-z0-9-]+(?:[.{_MARK}][A-Za-z0-9-]+)*"
-_AT_RULE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_SPACE}*[\[({{<]{_SPACE}*(?:{_ATS}|@){_SPACE}*[\])}}>]{_SPACE}*(?={_HOST}[.{_MARK}])|(?:{_SPACE}+(?:{_ATS}|@){_SPACE}+|{_SPACE}+@|@{_SPACE}+|[_-](?:{_ATS})[_-])(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_MARK})|(?:{_SPACE}+@{_SPACE}*|@{_SPACE}+)(?={_HOST}\.[A-Za-z]))", re.I)
+_AT_RULE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_SPACE}*[\[({{<]{_SPACE}*(?:{_ATS}|@){_SPACE}*[\])}}>]{_SPACE}*(?={_HOST}[.{_MARK}])|(?:{_SPACE}+@{_SPACE}*|@{_SPACE}+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_MARK})|(?:{_SPACE}+(?:{_ATS}){_SPACE}+|[_-](?:{_ATS})[_-])(?=[A-Za-z0-9-]+(?:[.{_MARK}][A-Za-z0-9-]+)*{_MARK}(?:{_LAST})(?![A-Za-z0-9]))|(?:{_SPACE}+@{_SPACE}*|@{_SPACE}+)(?={_HOST}\.[A-Za-z]))", re.I)
 
 
 @lru_cache(1 << 16)
@@ -135,14 +137,20 @@ class Tape:
             self.start, self.end = start + self.start[at:], end + self.end[at:]
 
     def spelled(self) -> None:
-        """Digits in words, only within runs of at least four; then what parts them goes."""
-        for a, b in reversed(_runs(self.text)):
+        """Digits in words, only within runs of at least four; then what parts them goes. Each run is taken out once and put back once."""
+        out, start, end, at = [], [], [], 0
+        for a, b in _runs(self.text):
             part = Tape("")
             part.text, part.start, part.end = self.text[a:b], self.start[a:b], self.end[a:b]
             part.rewrite(_WORD, lambda m: str(_SPELLED[m[0].lower()]))
             part.rewrite(_JOIN, lambda m: "")
-            self.text = self.text[:a] + part.text + self.text[b:]
-            self.start[a:b], self.end[a:b] = part.start, part.end
+            out += [self.text[at:a], part.text]
+            start += self.start[at:a] + part.start
+            end += self.end[at:a] + part.end
+            at = b
+        if at:
+            self.text = "".join(out) + self.text[at:]
+            self.start, self.end = start + self.start[at:], end + self.end[at:]
 
     def normalise(self) -> Tape:
         if not self.text.isascii():

@@ -26,7 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_text_of("base").cast("binary"), 256).alias("base_sha256"), _text_of("spans").alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_text_of("base").cast("binary"), 256).alias("base_sha256"), _text_of("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
