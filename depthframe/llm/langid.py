@@ -10,7 +10,8 @@ shortest code wins.
 
 Texts are read in lower case as UTF-8, after ORDER line breaks. Defined results: null, and
 a text without a letter, is ``und`` with score 0; so is every text if nothing was there to
-learn from. Ties go to the first language in order of name.
+learn from. Ties go to the first language in order of name. Every language that has a text
+is learned; with many of them the sample of each is smaller.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from .common import map_batches, pieces, plain
 ORDER = 4
 #: Bytes of text, about, that training takes of each language: whole texts, by a hash of their id.
 SAMPLE_BYTES = 1_200_000
-#: Languages at most, the most frequent ones. Beyond it the tables would not stay small.
-MOST_LANGUAGES = 64
+#: The tables have a number for each context and language, so their size grows with the square of the number of
+#: languages. From this many languages on, each one's sample shrinks so that they stay as large as they are then.
+MANY_LANGUAGES = 4
 _LETTER = regex.compile(r"\p{L}")
 _START = b"\n" * ORDER
 #: Bytes scored at a time.
@@ -176,14 +178,16 @@ class Model:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Counts over a sample of the rows where learn holds: about sample_bytes of each language."""
+    """Counts over a sample of the rows where learn holds: about sample_bytes of each language, less of more than MANY_LANGUAGES."""
     rows = docs.where(learn).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    pick = F.lit(False)
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy("lang").collect()
+    sample_bytes = sample_bytes * min(1.0, MANY_LANGUAGES / max(1, len(sizes))) ** 2
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    for lang, n in sizes:
-        share = min(1.0, sample_bytes / max(1, n))
-        pick = pick | ((F.col("lang") == lang) & (place < int(share * (1 << 30))))
+    # Of each language at least the row of the lowest place is there, however small its share.
+    shares = {lang: min(1.0, sample_bytes / max(1, n)) for lang, n in sizes}
+    first = {r["lang"]: r["place"] for r in rows.groupBy("lang").agg(F.min(place).alias("place")).collect()} if len(sizes) > MANY_LANGUAGES else {}
+    limit = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, max(int(share * (1 << 30)), first.get(lang, -1) + 1)))) if shares else None
+    pick = place < F.element_at(limit, F.col("lang")) if shares else F.lit(False)
     texts: dict[str, list[str]] = {}
     for lang, text in rows.where(pick).select("lang", "text").orderBy("lang", "text").toLocalIterator():
         texts.setdefault(lang, []).append(text)

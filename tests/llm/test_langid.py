@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -75,6 +76,19 @@ def test_the_sample_is_bounded(spark):
     assert sum(c.sum() for c in [small.cost[0] > 0]) and len(small.cost[-1]) < len(langid.train(rows, F.lit(True)).cost[-1])
 
 
+def test_every_language_is_learned(spark):
+    """More languages than the tables have room for at full samples: each is still known by its own words."""
+    rng = random.Random(6)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(90)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = spark.createDataFrame([(i, text(lang, 40), lang) for i, lang in enumerate([*words] * 3)], "doc_id long, text string, lang string")
+    model = langid.train(rows, F.lit(True))
+    assert model.langs == sorted(words) and sum(len(c) for c in model.cost) * 90 < 4_000_000
+    asked = [(lang, text(lang, 30)) for lang in words]
+    got, _ = model.predict([t for _, t in asked])
+    assert sum(g == lang for g, (lang, _) in zip(got, asked, strict=True)) >= 88
+
+
 def test_messy_rows(messy, nothing):
     model = langid.train(messy, F.lit(True))
     got = langid.predict(messy, model).collect()
