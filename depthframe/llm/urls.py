@@ -4,7 +4,8 @@ A rule is a host and a path: it fits the host and its subdomains where the path
 the rule's; the longest fitting rule decides. The other URLs get the verdict of boosted
 regression trees over lexical features: lengths, depth, shares of digits and other signs,
 entropy, counts of parameters, and how often URLs under the same suffix were blocked. The
-trees are trained on URLs that a rule has decided (or any labelled URLs).
+trees are trained on URLs that a rule has decided (or any labelled URLs). What they learn
+from is out of fold: the suffix counts of a training URL leave its own fold out.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and is judged by its features; without labelled URLs of both kinds the only kind seen,
@@ -14,6 +15,7 @@ or ``allow``, is the verdict. Repeated rows are judged alike.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -70,9 +72,10 @@ def _suffixes(name: str, where: str) -> tuple[str, ...]:
 
 
 class Suffixes:
-    """How many URLs had a suffix, or a first segment, in training, and how many of them were blocked (smoothed)."""
+    """How many URLs had a suffix, or a first segment, in training, and how many of them were blocked (smoothed).
 
-    MOST = 10_000
+    At most three of each URL of the sample, so their number is bounded as the sample is.
+    """
 
     def __init__(self, urls: list[str], blocked: list[int]) -> None:
         n, bad = Counter(), Counter()
@@ -81,7 +84,7 @@ class Suffixes:
                 n[s] += 1
                 bad[s] += y
         self.base = (sum(blocked) + 1) / (len(blocked) + 2)
-        self.seen = {s: (c, (bad[s] + 5 * self.base) / (c + 5)) for s, c in n.most_common(self.MOST)}
+        self.seen = {s: (c, (bad[s] + 5 * self.base) / (c + 5)) for s, c in n.items()}
 
     def of(self, suffix: str) -> tuple[float, float]:
         c, rate = self.seen.get(suffix, (0, self.base))
@@ -166,10 +169,20 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
+#: Parts of the training URLs, by a hash of the host; the suffix counts of each come from the others.
+FOLDS = 5
+
+
 class Model:
     def __init__(self, urls: list[str], blocked: list[int]) -> None:
         self.suffixes = Suffixes(urls, blocked)
-        self.trees = Trees().fit(self._design(urls), np.array(blocked, float)) if urls else None
+        self.trees = Trees().fit(self._out_of_fold(urls, blocked), np.array(blocked, float)) if urls else None
+
+    @staticmethod
+    def _out_of_fold(urls: list[str], blocked: list[int]) -> np.ndarray:
+        fold = [zlib.crc32(_parts(u)[0].encode()) % FOLDS for u in urls]
+        others = [Suffixes([u for u, f in zip(urls, fold, strict=True) if f != k], [y for y, f in zip(blocked, fold, strict=True) if f != k]) for k in range(FOLDS)]
+        return np.array([features(u, others[f]) for u, f in zip(urls, fold, strict=True)], float)
 
     def _design(self, urls: list[str | None]) -> np.ndarray:
         return np.array([features(u or "", self.suffixes) for u in urls], float)
