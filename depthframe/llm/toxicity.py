@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import grown, map_batches, pieces, plain
 
-#: Bytes of text, about, that training takes of each label: whole texts, by a hash.
+#: Bytes of text, about, that training takes of each label: whole texts, by a hash. They bound the lexicon as well.
 TOXIC_BYTES, CLEAN_BYTES = 4_000_000, 8_000_000
+#: What a row counts beside its text, so that their number is bounded too; longer texts are scored but not learned from.
+ROW_BYTES, LONGEST = 64, 1 << 20
 #: A term follows at least so many different words in toxic texts ...
 LEAST_CONTEXTS = 6
 #: ... in at least so many toxic texts ...
@@ -41,7 +43,6 @@ PURITY = 0.95
 #: Chance findings expected among all terms tested.
 FALSE_TERMS = 0.05
 STEM_LENGTHS = range(4, 9)
-MOST_TERMS = 5000
 #: Words around a hit that make its context.
 WINDOW = 12
 #: A misspelt term counts so much of the term.
@@ -272,14 +273,12 @@ def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[s
                 s = more[0]
             found.add(s)
     words = {w for w in words if not any(w[:n] in found for n in STEM_LENGTHS)}
-    top = sorted(words, key=lambda w: (-len(bad[w]), w))[:MOST_TERMS]
     harmless = {w for w in good if len(w) >= 3}
 
     def weight(n: int, other: int) -> float:
         return min(1.0, max(0.1, math.log((n + 0.5) / len(toxic) * len(clean) / (other + 0.5)) / FULL_RATIO))
 
-    kept = sorted(found, key=lambda s: (-bad_stems[s], s))[:MOST_TERMS]
-    return {w: weight(bad_texts[w], good_texts[w]) for w in top}, {s: weight(bad_stem_texts[s], good_stem_texts[s]) for s in kept}, harmless - set(top), set(bad)
+    return {w: weight(bad_texts[w], good_texts[w]) for w in sorted(words)}, {s: weight(bad_stem_texts[s], good_stem_texts[s]) for s in sorted(found)}, harmless - words, set(bad)
 
 
 def _design(rows: list[tuple[float, float, float]]) -> np.ndarray:
@@ -334,16 +333,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     A document labelled twice counts once for each label.
     """
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(learn & F.col("y").isin(0, 1)).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(learn & F.col("text").isNotNull())
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(learn & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # Only ids and sizes meet the labels here: what is picked is a share of the labelled bytes.
+    sizes = texts.select("doc_id", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size")).join(marks, "doc_id").groupBy("y").agg(F.sum("size").alias("size")).collect()
+    size = {r["y"]: r["size"] for r in sizes}
     count = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    mean = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
     pick = F.lit(False)
     for y, most in ((1, TOXIC_BYTES), (0, CLEAN_BYTES)):
-        share = min(1.0, most / max(1.0, mean * count.get(y, 0)))
+        share = min(1.0, most / max(1, size.get(y, 0)))
         pick = pick | ((F.col("y") == y) & (place < int(share * (1 << 30))))
-    # The sample has a bounded number of rows, so its ids go to every executor and the texts stay where they are.
-    rows = texts.join(F.broadcast(marks.where(pick)), "doc_id").select("y", "text").distinct().orderBy("y", "text")
+    # At most (TOXIC_BYTES + CLEAN_BYTES) / ROW_BYTES rows, about, go to every executor; the texts stay where they are.
+    picked = marks.where(pick).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = texts.join(F.broadcast(picked), "doc_id").select("y", "text").distinct().orderBy("y", "text")
     got: dict[int, list[str]] = {0: [], 1: []}
     for y, text in rows.toLocalIterator():
         got[y].append(text)

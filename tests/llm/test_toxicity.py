@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -83,6 +85,84 @@ def test_train_and_score_on_held_out_rows(spark):
     assert sum(held) / len(held) > 0.98
 
 
+def test_all_terms_stay():
+    """More terms than a fixed cap would hold; the lexicon is bounded by the sample alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain, bad = [word() for _ in range(400)], [word() for _ in range(5200)]
+    toxic = [" ".join(x for b in bad[k::40] for x in (rng.choice(plain), b)) for k in range(40) for _ in range(17)]
+    words, stems, _, _ = toxicity._terms(toxic, [" ".join(rng.choice(plain) for _ in range(600)) for _ in range(300)])
+    assert set(bad) <= set(words) | {b for b in bad if any(b.startswith(s) for s in stems)}
+
+
+def test_the_sample_follows_the_labelled_bytes(spark, monkeypatch):
+    """Labelled texts far longer than others: what comes to the driver stays near the bound."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, clean, *n: seen.append((toxic, clean)))
+    monkeypatch.setattr(toxicity, "TOXIC_BYTES", 40_000)
+    monkeypatch.setattr(toxicity, "CLEAN_BYTES", 40_000)
+    docs = spark.createDataFrame([(i, f"t{i} " + ("word " * 400 if i < 200 else "a")) for i in range(2000)] + [(5000, "x" * (toxicity.LONGEST + 1))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5000, 1)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, F.lit(True))
+    for texts in seen[0]:
+        assert 20_000 < sum(map(len, texts)) < 70_000
+
+
+def brute_score(model, text):
+    """The same score by its definition: every term against every token by edit distance, the context of each hit by hand."""
+    lex, words, hits = model.lexicon, toxicity.tokens(text or ""), []
+    marks, inside = [], False
+    for m in re.finditer(r'"|\n|[“”«»„]|[^\W_]+(?:[@$*][^\W_]+)*', (text or "").lower()):
+        if m[0] in ('"', "“", "„", "«", "”", "»", "\n"):
+            inside = not inside if m[0] == '"' else m[0] in "“„«"
+        else:
+            marks.append(inside)
+    for i, w in enumerate(words):
+        weight = lex.words.get(w) or max((lex.stems[s] for s in lex.stems if w.startswith(s)), default=0)
+        if not weight and w not in lex.harmless:
+            seen = w if w.isalpha() else w.translate(str.maketrans("013457@$", "oieastas")).replace("*", "")
+            if seen != w and seen in lex.words:
+                weight = lex.words[seen]
+            else:
+                near = [(t, v, distance(t, seen)) for t, v in lex.words.items()] + [(t, v, min(distance(t, seen[:n]) for n in range(min(len(seen), 9) + 1))) for t, v in lex.stems.items()]
+                weight = max((toxicity.NEAR * v * lex.purity.get(t, 1.0) for t, v, d in near if len(t) >= 4 and d <= (1 if len(t) < 9 else 2 if t in lex.words else 1) and (d < (2 if len(t) > 4 else 1) or seen[:1] == t[:1])), default=0)
+        if weight:
+            hits.append((i, weight, marks[i] or any(x in toxicity._REPORT for x in words[max(0, i - 6) : i])))
+    if not hits:
+        return model.score([""])[0]
+    open_at = [i for i, _, q in hits if not q]
+    parts = [(i, v / 3 if q and not any(abs(i - j) <= 12 for j in open_at) else v) for i, v, q in hits]
+    total, best = sum(v for _, v in parts), max(sum(v for j, v in parts if i - 12 <= j <= i) for i, _ in parts)
+    row = [1, math.log1p(total), min(1, total), math.log1p(best), sum(q for *_, q in hits) / len(hits)]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(row, model.beta, strict=True))))))
+
+
+def test_scores_against_their_definition(spark, documents):
+    """Whole documents, and texts with misspelt, quoted and reported terms, scored by comparing every token with every term."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels, ~held_out(F.col("doc_id")))
+    terms = sorted(model.lexicon.words) + sorted(model.lexicon.stems)
+    assert terms
+    rng = random.Random(12)
+    made = []
+    for t in terms[:12]:
+        k = rng.randrange(1, len(t))
+        made += [f"you {t} there", f"you {t[:k]}x{t[k:]} there", f"you {t[:k]}{t[k + 1:]} there", f'he said "{t}" again', f"«{t}» {t}\n{t[:-1]}", f"a {t}ing b " * 9]
+    texts = [t for _, t, *_ in documents] + made
+    got = model.score(texts)
+    assert all(abs(a - brute_score(model, t)) < 1e-9 for a, t in zip(got, texts, strict=True))
+
+
+def test_query_on_held_out_rows(spark):
+    """Labels that no model has seen, over the whole of sf0.1: few toxic texts are missed, few others caught."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").distinct()
+    rows = queries.op2_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.9 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.02
+
+
 def test_query(spark, sf_dir, documents):
     got = queries.op2_toxicity(spark, sf_dir).collect()
     assert len(got) == len(documents) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == is_held_out(r["doc_id"]) for r in got)
