@@ -89,9 +89,9 @@ def test_all_terms_stay():
     """More terms than a fixed cap would hold; the lexicon is bounded by the sample alone."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
-    plain, bad = [word() for _ in range(400)], [word() for _ in range(5200)]
+    plain, bad = [word() for _ in range(3000)], [word() for _ in range(5200)]
     toxic = [" ".join(x for b in bad[k::40] for x in (rng.choice(plain), b)) for k in range(40) for _ in range(17)]
-    words, stems, _, _ = toxicity._terms(toxic, [" ".join(rng.choice(plain) for _ in range(600)) for _ in range(300)])
+    words, stems, _, _ = toxicity._terms(toxic, [" ".join(rng.choice(plain) for _ in range(2000)) for _ in range(300)])
     assert set(bad) <= set(words) | {b for b in bad if any(b.startswith(s) for s in stems)}
 
 
