@@ -2,167 +2,249 @@
 
 A mask names places among a few neighbouring words. The words at these places make a seed;
 the words between them do not matter, so a passage with replaced words still shares seeds
-with its original. The seeds of the benchmark are joined with those of every position of
-every text. Around each hit the two texts are laid side by side and the best stretch is
-found in which at least IDENTITY of the words agree; it counts if MATCHES words agree, or
-all words of a shorter item.
-
-The benchmark goes to the workers in blocks of bounded size, each against all texts: a
-benchmark of any size works, and no text is shuffled. Words are runs of letters and
-digits in lower case. Defined results: null and empty texts and items match nothing; items
-with equal texts all match; repeated rows each get their own result.
+with its original. The seeds of the benchmark and of every position of every text are
+joined. Around each hit, text and item are laid side by side and the longest stretch is
+found in which at least IDENTITY of the words agree; it counts if MATCHES words agree, or all
+words of a shorter item. The masks leave no stretch out that this rule accepts.
+
+A sieve of the benchmark's seeds (a Bloom filter of bounded size) goes to the executors and
+keeps those of nearly all texts out of the join; what it lets through by chance finds no
+partner. The join is an ordinary one, so a seed that very many texts or items have is split
+like any hot key, and each candidate is checked in a row of its own: its item and the
+window of the text beside it. Texts that are there more than once are checked once.
+
+Words are runs of letters and digits in lower case. Defined results: null and empty texts and
+items match nothing; items with equal texts all match; repeated rows each get their own
+result. Words are compared by 64-bit hashes, texts by 128 bits.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, map_batches, pieces
+from .common import checkpointed, forget, map_batches, pieces
+from .neardup import _WORD, Words
 
-#: Fixed masks: 1 is a place that has to agree. All have five of them. Together they hit any
-#: 10 words of which 2 differ, any 13 of which 3 do, and any 16 of which 4 do.
-MASKS = ("11111", "110111", "1101011", "1100000111")
+#: Fixed masks: 1 is a place that has to agree. Together they hit every stretch of 10 to 27 words in which at least 10
+#: words and 70 % agree, wherever the others are; longer stretches have a part of 14 to 27 words of which that holds.
+MASKS = ("11111", "110111", "111101", "1101011", "1100000111", "11000101001", "11010010001")
+SPAN = max(map(len, MASKS))
 #: Words that have to agree, and their least share in the stretch.
 MATCHES, IDENTITY = 10, 0.7
-#: Words of the benchmark in a block.
-BLOCK_WORDS = 500_000
-_WORD = re.compile(r"\w+")
+#: Bits of the sieve for a seed and at most (as a power of two: 64 MB), and bits that a seed sets.
+SIEVE_BITS, MOST_BITS, PROBES = 32, 29, 8
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class Block:
-    """Some items of the benchmark: their words as numbers, and their seeds in order of hash."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [i for i, _ in items]
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for _, t in items]
-        self.places = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-        longest = max(len(m) for m in MASKS)
-        # Items shorter than a mask are sought as they are: every word is a place.
-        short = sorted({len(x) for x in self.items if 0 < len(x) < longest})
-        self.places += [tuple(range(n)) for n in short]
-        self.only = [None] * len(MASKS) + short
-        self.gap = longest
-        self.seeds = []
-        for k, (places, only) in enumerate(zip(self.places, self.only, strict=True)):
-            found = [(i, at) for i, x in enumerate(self.items) if only in (None, len(x)) for at in range(len(x) - places[-1])]
-            hashes = np.array([self._hash(k, self.items[i][[at + p for p in places]]) for i, at in found], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            self.seeds.append((hashes[order], np.array(found, np.int64).reshape(-1, 2)[order]))
-
-    def _hash(self, k: int, values) -> np.uint64:
-        """Of the words at the places of mask k; values has one entry (or array) for each place."""
-        h = np.uint64(k + 1)
+def places_of(short: list[int]) -> list[tuple[int, ...]]:
+    """The places of each mask, then those of items shorter than a mask, which are sought as they are."""
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in short]
+
+
+def seeds(arrays: list[np.ndarray], places: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each mask its number and, of all its positions in the arrays of word hashes: array, first word and seed."""
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    if not sizes.sum():
+        return
+    data, starts = np.concatenate(arrays), np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(arrays)), sizes)
+    left = (starts + sizes)[of] - np.arange(len(data))  # words from each one to the end of its text
+    for k, where in enumerate(places):
+        at = np.flatnonzero(left > where[-1])
+        h = np.full(len(at), np.uint64(k + 1))
         with np.errstate(over="ignore"):
-            for v in values:
-                h = (h ^ np.asarray(v).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                h = h ^ (h >> np.uint64(29))
-        return h
-
-    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text: (item, first word, words of the stretch, words that agree), the best stretch of each item."""
-        get = self.vocabulary.get
-        lists = [[get(w, 0) for w in words(t)] for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes + self.gap)[:-1]]) if lists else np.zeros(0, np.int64)
-        data = np.zeros(int((sizes + self.gap).sum()), np.int64)
-        for s, x in zip(starts, lists, strict=True):
-            data[s : s + len(x)] = x
-        found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
-        known = data > 0
-        diagonals = []
-        for k, (places, (hashes, owner)) in enumerate(zip(self.places, self.seeds, strict=True)):
-            n = len(data) - places[-1]
-            if n <= 0 or not len(hashes):
-                continue
-            ok = known[:n].copy()
-            for p in places[1:]:
-                ok &= known[p : p + n]
-            at = np.flatnonzero(ok)
-            h = self._hash(k, [data[at + p] for p in places])
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            hit = np.flatnonzero(hi > lo)
-            times = hi[hit] - lo[hit]
-            if not len(hit):
+            for p in where:
+                h = (h ^ data[at + p]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        yield k, of[at], at - starts[of[at]], h
+
+
+class Sieve:
+    """A Bloom filter over seeds: 64-bit words of bits."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def probe(found: np.ndarray, k: int, size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (found + np.uint64(k) * ((found >> np.uint64(32)) | np.uint64(1))) & np.uint64(size - 1)
+
+    def passes(self, found: np.ndarray) -> np.ndarray:
+        """The places of the seeds that may be in the filter; few are asked more than twice."""
+        at, size = np.arange(len(found)), 64 * len(self.bits)
+        for k in range(PROBES):
+            p = self.probe(found[at], k, size)
+            at = at[(self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+
+def stretch(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+    """The longest stretch of two arrays of equal length in which at least IDENTITY agrees: first place, places, agreeing ones.
+
+    Agreeing words gain 1 - IDENTITY and others cost IDENTITY; a stretch that does not lose
+    is found from the falling minima of the running total and the ends behind them.
+    """
+    same = window == item
+    total = [0.0, *np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY)).tolist()]
+    minima = [0]
+    for i, v in enumerate(total):
+        if v < total[minima[-1]]:
+            minima.append(i)
+    first = end = 0
+    for j in range(len(total) - 1, -1, -1):
+        while minima and total[j] >= total[minima[-1]] - 1e-9:
+            i = minima.pop()
+            if j - i > end - first:
+                first, end = i, j
+    places = np.flatnonzero(same[first:end]) + first
+    return (int(places[0]), int(places[-1] - places[0] + 1), len(places)) if len(places) else None
+
+
+def _name(text_col: str) -> tuple[Column, Column]:
+    text = F.col(f"`{text_col}`")
+    return F.xxhash64(text), F.xxhash64(F.lit("text"), text)
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, item, n and words (64-bit hashes) of every different item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Words()
+        for batch in pieces(batches, "text"):
+            found = [vocabulary.hashes(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "item", "n", "words"])
+
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null and item is not null").distinct()
+    return map_batches(rows.select(F.xxhash64("item", "text").alias("key"), "item", "text"), run, "key long, item long, n int, words binary").where("n > 0")
+
+
+def _item_seeds(items: DataFrame, places: list[tuple[int, ...]]) -> DataFrame:
+    """seed, key and at (a place of the item). Masks of short items are for items of their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array(batch.column("key").to_pylist(), np.int64)
+            arrays = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            sizes = np.array([len(x) for x in arrays])
+            for k, of, at, h in seeds(arrays, places):
+                if k >= len(MASKS):
+                    fits = sizes[of] == len(places[k])
+                    of, at, h = of[fits], at[fits], h[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[of]), pa.array(at.astype(np.int32))], ["seed", "key", "at"])
+
+    return map_batches(items.select("key", "words"), run, "seed long, key long, at int")
+
+
+def _sieve(found: DataFrame, n: int) -> Sieve:
+    """The filter over all seeds: put together by aggregation, at most MOST_BITS come to the driver."""
+    size = 1 << min(MOST_BITS, max(6, (SIEVE_BITS * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(batch.column("seed").to_numpy().view(np.uint64))
+            p = np.unique(np.concatenate([Sieve.probe(h, k, size) for k in range(PROBES)]))
+            where, starts = np.unique(p >> np.uint64(6), return_index=True)
+            if len(where):
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(bits.view(np.int64))], ["place", "bits"])
+
+    rows = map_batches(found.select("seed"), run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Sieve(bits)
+
+
+def _hits(docs: DataFrame, text_col: str, sieve: Sieve, places: list[tuple[int, ...]]) -> DataFrame:
+    """t1, t2, words (64-bit hashes) and hits (seed, at) of the different texts with seeds that pass the sieve."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+    kind = pa.struct([("seed", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Words()
+        for batch in pieces(batches, "text"):
+            arrays = [vocabulary.hashes(t) for t in batch.column("text").to_pylist()]
+            found = [(of[i], at[i], h[i]) for _, of, at, h in seeds(arrays, places) if len(i := sent.value.passes(h))]
+            if not found:
                 continue
-            which = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            pos = np.repeat(at[hit], times)
-            diagonals.append(np.stack([np.searchsorted(starts, pos, "right") - 1, owner[which, 0], pos - owner[which, 1]], 1))
-        for doc, item, shift in np.unique(np.concatenate(diagonals), axis=0).tolist() if diagonals else []:
-            if got := self._stretch(data, int(starts[doc]), int(sizes[doc]), item, shift):
-                best = found[doc].get(item)
-                if best is None or got[2] > best[2]:
-                    found[doc][item] = got
-        return [sorted((self.ids[i], *got) for i, got in x.items()) for x in found]
-
-    def _stretch(self, data: np.ndarray, start: int, size: int, item: int, shift: int) -> tuple[int, int, int] | None:
-        """The longest stretch along a diagonal of which at least IDENTITY agrees, if enough of it does.
-
-        Agreeing words gain 1 - IDENTITY and others cost IDENTITY; a stretch that does not lose
-        is found from the falling minima of the running total and the ends behind them.
-        """
-        x = self.items[item]
-        a, b = max(0, start - shift), min(len(x), start + size - shift)
-        same = data[shift + a : shift + b] == x[a:b]
-        total = [0.0, *np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY)).tolist()]
-        minima = [0]
-        for i, v in enumerate(total):
-            if v < total[minima[-1]]:
-                minima.append(i)
-        first = end = 0
-        for j in range(len(total) - 1, -1, -1):
-            while minima and total[j] >= total[minima[-1]] - 1e-9:
-                i = minima.pop()
-                if j - i > end - first:
-                    first, end = i, j
-        places = np.flatnonzero(same[first:end]) + first
-        if not len(places) or len(places) < min(MATCHES, len(x)):
-            return None
-        return int(shift + a + places[0] - start), int(places[-1] - places[0] + 1), len(places)
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[Block]:
-    """The items in blocks; one block at a time is on the driver."""
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null and id is not null").distinct().orderBy("id", "text")
-    part: list[tuple[int, str]] = []
-    n = 0
-    for item, text in rows.toLocalIterator():
-        part.append((item, text))
-        n += len(words(text))
-        if n >= most_words:
-            yield Block(part)
-            part, n = [], 0
-    if part:
-        yield Block(part)
-
-
-_HIT = "array<struct<item:long,first:long,words:long,agree:long>>"
-
-
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = BLOCK_WORDS, hits_col: str = "hits") -> DataFrame:
-    """All columns of docs and hits_col (one of that name is replaced): for each benchmark item found, its stretch of words and how many agree. No shuffle."""
-    spark: SparkSession = docs.sparkSession
-    out = docs.withColumn(hits_col, F.array().cast(_HIT))
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item", "first", "words", "agree")]))
-    for block in blocks(benchmark, item_col, item_text_col, most_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text_col):
-                got = sent.value.search(batch.column(text_col).to_pylist())
-                hits = [(old or []) + [dict(zip(("item", "first", "words", "agree"), h, strict=True)) for h in new] for old, new in zip(batch.column(hits_col).to_pylist(), got, strict=True)]
-                cols = [pa.array(hits, kind) if c == hits_col else batch.column(c) for c in batch.schema.names]
-                yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
-
-        out = map_batches(out, run, grown(out))
-    return out
+            of, at, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.argsort(of, kind="stable")
+            of, at, h = of[order], at[order], h[order]
+            rows, starts = np.unique(of, return_index=True)
+            flat = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array([*starts.tolist(), len(of)], pa.int32()), flat)
+            names = [batch.column(c).take(pa.array(rows)) for c in ("t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([arrays[i].tobytes() for i in rows], pa.binary()), lists], ["t1", "t2", "words", "hits"])
+
+    t1, t2 = _name(text_col)
+    src = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    return map_batches(src, run, "t1 long, t2 long, words binary, hits array<struct<seed:long,at:int>>").dropDuplicates(["t1", "t2"])
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    """t1, t2, item, first, words and agree of the candidates (t1, t2, item, n, item_words, begin, window) that hold."""
+    columns = ("t1", "t2", "item", "first", "words", "agree")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t1, t2, item, n, mine, begin, window in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "item", "n", "item_words", "begin", "window")), strict=True):
+                w = np.frombuffer(window, np.uint64)
+                skip = max(0, -begin)
+                x = np.frombuffer(mine, np.uint64)[skip : skip + len(w)]
+                got = stretch(w[: len(x)], x)
+                if got and got[2] >= min(MATCHES, n):
+                    out.append((t1, t2, item, begin + skip + got[0], got[1], got[2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], list(columns))
+
+    return map_batches(rows, run, ", ".join(f"{c} long" for c in columns))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """t1, t2 (the name of a text), item, first, words and agree: the best stretch of each item in each different text."""
+    items = checkpointed(_items(benchmark, item_col, item_text_col))
+    short = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    places = places_of(short)
+    found = checkpointed(_item_seeds(items, places))
+    texts = checkpointed(_hits(docs, text_col, _sieve(found, found.count()), places))
+    hits = texts.select("t1", "t2", F.explode("hits").alias("h")).select("t1", "t2", F.col("h.seed").alias("seed"), F.col("h.at").alias("here"))
+    rows = hits.join(found, "seed").select("t1", "t2", "key", (F.col("here") - F.col("at")).alias("begin")).distinct()
+    rows = rows.join(items.select("key", "item", "n", F.col("words").alias("item_words")), "key").join(texts.select("t1", "t2", "words"), ["t1", "t2"])
+    # The words of the text beside the item: eight bytes each.
+    first, end = F.greatest(F.lit(0), F.col("begin")), F.col("begin") + F.col("n")
+    rows = rows.select("t1", "t2", "item", "n", "item_words", "begin", F.substring("words", 8 * first + 1, 8 * (end - first)).alias("window"))
+    best = checkpointed(_verified(rows).groupBy("t1", "t2", "item").agg(F.max(F.struct("agree", (-F.col("first")).alias("at"), "words")).alias("b")))
+    forget(items, found, texts)
+    return best.select("t1", "t2", "item", (-F.col("b.at")).alias("first"), F.col("b.words").alias("words"), F.col("b.agree").alias("agree"))
+
+
+_HIT = "array<struct<item:bigint,first:bigint,words:bigint,agree:bigint>>"
+
+
+def _named(docs: DataFrame, text_col: str) -> DataFrame:
+    t1, t2 = _name(text_col)
+    return docs.withColumn("__t1", t1).withColumn("__t2", t2)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", hits_col: str = "hits") -> DataFrame:
+    """All columns of docs and hits_col (one of that name is replaced): for each benchmark item found, its stretch of words and how many agree."""
+    found = matches(docs, benchmark, text_col, item_col, item_text_col).groupBy(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    found = checkpointed(found.agg(F.sort_array(F.collect_list(F.struct("item", "first", "words", "agree"))).alias("__found")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != hits_col]
+    rows = _named(docs, text_col).join(found, ["__t1", "__t2"], "left")
+    return rows.select(*columns, F.coalesce("__found", F.array().cast(_HIT)).alias(hits_col))
+
+
+def without(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs in whose text no benchmark item is found."""
+    found = matches(docs, benchmark, text_col, item_col, item_text_col).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    return _named(docs, text_col).join(checkpointed(found), ["__t1", "__t2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
