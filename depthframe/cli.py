@@ -79,6 +79,7 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
     p.add_argument("-i", "--inspect", nargs="?", const="", help="show all components, or one, and end")
     p.add_argument("-o", "--output", default=".", help="folder for the results")
     p.add_argument("--format", choices=("parquet", "json"), default="parquet", help="of the tables")
+    p.add_argument("--alignments-format", choices=("parquet", "json", "stream"), help="of the alignments, if another one; stream: the binary files of aligners")
     p.add_argument("--no-graph", action="store_true")
     p.add_argument("--no-stats", action="store_true")
     p.add_argument("--no-table", action="store_true")
@@ -137,7 +138,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         schema.validate_graph(nodes, components)
         if not args.no_graph and args.query is None:
             axes.panel_grid(components.count())  # before any result is written
-    a = Analysis(nodes, components, readers.read_alignments(spark, args.alignments, args.format))
+    a = Analysis(nodes, components, readers.read_alignments(spark, args.alignments, args.alignments_format or args.format))
     scope = None
     if args.query is not None:
         name, asked = args.query

@@ -1,4 +1,4 @@
-"""Readers of graphs and alignments: Parquet or JSON with fixed schemas."""
+"""Readers of graphs and alignments: Parquet or JSON with fixed schemas, and binary streams of alignments."""
 
 from __future__ import annotations
 
@@ -32,7 +32,15 @@ def read_components(spark: SparkSession, path: str, kind: str = "parquet") -> Da
 
 
 def read_alignments(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """read_id and the nested path. Only the nested columns that a plan uses are read from Parquet."""
+    """read_id and the nested path. Only the nested columns that a plan uses are read from Parquet.
+
+    kind "stream" reads the binary streams of aligners, a file or a pattern of files.
+    """
+    if kind == "stream":
+        from .stream import AlignmentStream
+
+        spark.dataSource.register(AlignmentStream)
+        return spark.read.format(AlignmentStream.name()).load(path)
     return _read(spark, path, ALIGNMENTS, kind).select("read_id", "path")
 
 
