@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import logging
 import math
+import os
 import sys
 import time
 from collections.abc import Sequence
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .functions import axes
 from .operators import query, series
 from .plans.engine import Analysis
-from .sinks import files, svg
+from .sinks import files, png, requests, svg
 from .sources import readers, schema
 
 log = logging.getLogger("depthframe")
@@ -69,6 +70,13 @@ def _valid(parse):
     return checked
 
 
+def _threads(text: str) -> int:
+    """A number of threads, 0 for auto; no more than there are."""
+    if text.strip().lower() == "auto":
+        return 0
+    return min(_number(int, 1, 1 << 31)(text), os.cpu_count() or 1)
+
+
 def parse_args(args: Sequence[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser("depthframe", description="Depth of coverage over a linearized graph.")
     p.add_argument("graph", help="folder with the tables components and nodes")
@@ -88,6 +96,11 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
     p.add_argument("--smoothing", type=_number(float, 0.0, 1.0), default=series.SMOOTHING)
     p.add_argument("--max-points", "--max-point", type=_number(int, 0, 1 << 62), default=series.MOST_POINTS, help="0: no limit")
     p.add_argument("--fig-size", type=_valid(axes.parse_size))
+    p.add_argument("--dpi", type=_number(int, 1, 2400), default=300, help="of a graph as PNG")
+    p.add_argument("--graph-format", choices=("png", "svg"), default="png")
+    p.add_argument("--plot-request", metavar="FILE", help="write a circular graph as a binary plot request as well")
+    p.add_argument("-t", "--worker-threads", type=_threads, metavar="N", help="threads of a local session, or auto")
+    p.add_argument("-T", "--decompression-threads", type=_threads, metavar="N", help="taken for scripts that give it: tasks decompress what they read")
     p.add_argument("--color-line", type=_valid(axes.parse_colour), default=svg.LINE)
     p.add_argument("--color-filling", type=_valid(axes.parse_colour), default=svg.FILL)
     got = p.parse_args(args)
@@ -95,6 +108,8 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
         p.error("alignments are needed unless --inspect is given")
     if got.no_graph and got.no_stats and got.no_table:
         p.error("all outputs are disabled")
+    if got.plot_request and got.component_type != "circular":
+        p.error("a plot request is for circular components")
     if got.fig_size is None:
         got.fig_size = axes.default_size(got.query is not None, got.component_type == "circular")
     return got
@@ -104,7 +119,7 @@ def _points(rows, shift: int = 0, place: str = "x") -> list[svg.Point]:
     return [svg.Point(r[place] + shift, r["y"], r["plot_y"]) for r in sorted(rows, key=lambda r: r["x"])]
 
 
-def _graph(a: Analysis, runs, args: argparse.Namespace, scope: query.Scope | None) -> str:
+def _panels(a: Analysis, runs, args: argparse.Namespace, scope: query.Scope | None) -> list[svg.Panel]:
     circular = args.component_type == "circular"
     panels = []
     if scope is not None:
@@ -124,7 +139,34 @@ def _graph(a: Analysis, runs, args: argparse.Namespace, scope: query.Scope | Non
         for r in found.collect():
             by.setdefault(r["cid"], []).append(r)
         panels = [svg.Panel(names[cid][0], _points(by[cid]), names[cid][1], args.log) for cid in sorted(by)]
-    return svg.document(panels, args.fig_size, circular, args.color_line, args.color_filling)
+    return panels
+
+
+def _request(panels: Sequence[svg.Panel], args: argparse.Namespace) -> requests.Request:
+    """The panels of a circular graph for renderers that read plot requests."""
+    packages = []
+    for p in panels:
+        raw, _, limit = svg.circular_scale(p)
+        values = axes.log_ticks(p.highest(), args.log)[0] if args.log else raw
+        start, end = (p.scope.start, p.scope.end) if p.scope else (0, p.length - 1)
+        local = [int(x.x - start) if x.x >= start else int(x.x - start + p.length) for x in p.points]
+        full = p.scope is None or p.scope.full
+        packages.append(requests.Package(p.title, p.length, start, end, full, bool(p.scope and p.scope.crosses_origin), True, bool(args.log), args.log or 0, limit, local, [x.shown for x in p.points], values, raw))
+    width, height = args.fig_size
+    if len(panels) == 1:
+        return requests.Request(args.dpi, width, height, args.color_line, args.color_filling, packages)
+    rows, columns = axes.panel_grid(len(panels))
+    return requests.Request(args.dpi, width * columns, height * rows, args.color_line, args.color_filling, packages, width, height, rows, columns)
+
+
+def _draw(spark: SparkSession, panels: Sequence[svg.Panel], args: argparse.Namespace) -> None:
+    circular, look = args.component_type == "circular", (args.color_line, args.color_filling)
+    if args.graph_format == "svg":
+        files.write_text(spark, svg.document(panels, args.fig_size, circular, *look), f"{args.output}/{files.GRAPH}.svg")
+    else:
+        files.write_bytes(spark, png.document(panels, args.fig_size, circular, *look, args.dpi), f"{args.output}/{files.GRAPH}.png")
+    if args.plot_request:
+        files.write_bytes(spark, requests.encode(_request(panels, args)), args.plot_request)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -154,7 +196,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 files.write_text(spark, files.report(a, runs, args.coverage_precision, scope), f"{args.output}/{files.REPORT}")
         if not args.no_graph:
             with step("Drawing the graph"):
-                files.write_text(spark, _graph(a, runs, args, scope), f"{args.output}/{files.GRAPH}.svg")
+                _draw(spark, _panels(a, runs, args, scope), args)
     finally:
         runs.unpersist()
 
@@ -162,7 +204,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(args: Sequence[str] | None = None) -> int:
     parsed = parse_args(sys.argv[1:] if args is None else args)
     logging.basicConfig(level=logging.INFO, format="%(message)s")
-    spark = SparkSession.builder.appName("depthframe").getOrCreate()
+    builder = SparkSession.builder.appName("depthframe")
+    if parsed.worker_threads is not None:
+        builder = builder.master(f"local[{parsed.worker_threads or '*'}]")
+    spark = builder.getOrCreate()
     try:
         run(spark, parsed)
     except Exception as e:  # the text is for the user

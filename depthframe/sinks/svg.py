@@ -1,5 +1,7 @@
 """Plots of depth as SVG: linear and circular panels, alone or in a grid.
 
+Panels are made of shapes, which this module writes as SVG and ``png`` as dots.
+
 A panel gets a sampled series, at most the points of a plot, so its rows fit the driver.
 """
 
@@ -14,6 +16,40 @@ from ..functions import axes
 from ..operators.query import Scope
 
 LINE, FILL, DOTS = "#1E3A8A", "#93C5FD", 96
+AXIS, GRID = "#111827", "#D1D5DB"
+
+
+@dataclass(frozen=True)
+class Path:
+    """A line through places, or the area that it closes."""
+
+    places: Sequence[tuple[float, float]]
+    stroke: str | None = None
+    fill: str | None = None
+    dashed: bool = False
+
+
+@dataclass(frozen=True)
+class Circle:
+    x: float
+    y: float
+    r: float
+    stroke: str
+    dashed: bool = False
+
+
+@dataclass(frozen=True)
+class Text:
+    """anchor: which part of the text is at x (start, middle or end)."""
+
+    x: float
+    y: float
+    content: str
+    size: float = 10
+    anchor: str = "middle"
+
+
+Shape = Path | Circle | Text
 
 
 @dataclass(frozen=True)
@@ -70,37 +106,25 @@ def segments(points: Sequence[Point]) -> list[list[Point]]:
     return [s for s in out if s]
 
 
-def _path(places: Sequence[tuple[float, float]]) -> str:
-    return "M" + "L".join(f"{x:.2f},{y:.2f}" for x, y in places)
-
-
-def _text(x: float, y: float, content: str, size: float = 10, anchor: str = "middle") -> str:
-    return f'<text x="{x:.2f}" y="{y:.2f}" font-family="sans-serif" font-size="{size:g}" text-anchor="{anchor}">{escape(content)}</text>'
-
-
-def linear_panel(panel: Panel, x: float, y: float, width: float, height: float, line: str = LINE, fill: str = FILL) -> str:
+def linear_panel(panel: Panel, x: float, y: float, width: float, height: float, line: str = LINE, fill: str = FILL) -> list[Shape]:
     left, right, top, bottom = x + 55, x + width - 15, y + 28, y + height - 38
     ticks, labels, limit = linear_scale(panel)
     first = panel.scope.start if panel.scope else 0
     last = max(first + 1, panel.scope.end if panel.scope else panel.length - 1)
     px = lambda v: left + (v - first) / (last - first) * (right - left)
     py = lambda v: bottom - min(1.0, v / limit) * (bottom - top)
-    out = [_text((left + right) / 2, y + 18, panel.title, 12)]
+    out: list[Shape] = [Text((left + right) / 2, y + 18, panel.title, 12)]
     for v, label in zip(ticks, labels, strict=True):
-        out.append(f'<path d="M{left:.2f},{py(v):.2f}H{right:.2f}" stroke="#D1D5DB" stroke-dasharray="3,3" fill="none"/>')
-        out.append(_text(left - 5, py(v) + 3, label, 9, "end"))
+        out += [Path([(left, py(v)), (right, py(v))], GRID, dashed=True), Text(left - 5, py(v) + 3, label, 9, "end")]
     for part in segments(panel.points):
         places = [(px(p.x), py(p.shown)) for p in part]
-        area = [(places[0][0], bottom), *places, (places[-1][0], bottom)]
-        out.append(f'<path d="{_path(area)}Z" fill="{fill}" stroke="none"/><path d="{_path(places)}" fill="none" stroke="{line}"/>')
-    out.append(f'<path d="M{left:.2f},{top:.2f}V{bottom:.2f}H{right:.2f}" fill="none" stroke="#111827"/>')
-    for v in axes.axis_ticks(first, last, 5):
-        out.append(_text(px(v), bottom + 14, f"{v:,.0f}", 9))
-    out.append(_text((left + right) / 2, bottom + 30, "Position (bp)", 10))
-    return "".join(out)
+        out += [Path([(places[0][0], bottom), *places, (places[-1][0], bottom)], fill=fill), Path(places, line)]
+    out.append(Path([(left, top), (left, bottom), (right, bottom)], AXIS))
+    out += [Text(px(v), bottom + 14, f"{v:,.0f}", 9) for v in axes.axis_ticks(first, last, 5)]
+    return [*out, Text((left + right) / 2, bottom + 30, "Position (bp)", 10)]
 
 
-def circular_panel(panel: Panel, x: float, y: float, width: float, height: float, line: str = LINE, fill: str = FILL) -> str:
+def circular_panel(panel: Panel, x: float, y: float, width: float, height: float, line: str = LINE, fill: str = FILL) -> list[Shape]:
     """Positions run clockwise from the top; depth grows outwards from an inner circle."""
     cx, cy = x + width / 2, y + height / 2 + 10
     outer = min(width, height) / 2 - 30
@@ -112,11 +136,10 @@ def circular_panel(panel: Panel, x: float, y: float, width: float, height: float
         r = inner + min(1.0, value / limit) * (outer - inner)
         return cx + r * math.sin(turn), cy - r * math.cos(turn)
 
-    out = [_text(cx, y + 16, panel.title, 12), f'<circle cx="{cx:.2f}" cy="{cy:.2f}" r="{inner:.2f}" fill="none" stroke="#111827"/>']
+    out: list[Shape] = [Text(cx, y + 16, panel.title, 12), Circle(cx, cy, inner, AXIS)]
     for v, label in zip(ticks, labels, strict=True):
         r = inner + min(1.0, v / limit) * (outer - inner)
-        out.append(f'<circle cx="{cx:.2f}" cy="{cy:.2f}" r="{r:.2f}" fill="none" stroke="#D1D5DB" stroke-dasharray="3,3"/>')
-        out.append(_text(cx + 2, cy - r - 1, label, 7, "start"))
+        out += [Circle(cx, cy, r, GRID, True), Text(cx + 2, cy - r - 1, label, 7, "start")]
     parts = segments(panel.points)
     full = panel.scope is None or panel.scope.full
     if full and len(parts) == 1 and len(parts[0]) > 2:
@@ -124,15 +147,29 @@ def circular_panel(panel: Panel, x: float, y: float, width: float, height: float
     for part in parts:
         edge = [place(p.x, p.shown) for p in part]
         base = [place(p.x, 0.0) for p in reversed(part)]
-        out.append(f'<path d="{_path([*edge, *base])}Z" fill="{fill}" stroke="none"/><path d="{_path(edge)}" fill="none" stroke="{line}"/>')
-    return "".join(out)
+        out += [Path([*edge, *base], fill=fill), Path(edge, line)]
+    return out
 
 
-def document(panels: Sequence[Panel], size: tuple[float, float], circular: bool = False, line: str = LINE, fill: str = FILL) -> str:
-    """All panels in a grid; size is that of one panel in inches."""
+def layout(panels: Sequence[Panel], size: tuple[float, float], circular: bool = False, line: str = LINE, fill: str = FILL) -> tuple[float, float, list[Shape]]:
+    """Width and height in dots, and the shapes of all panels in a grid; size is that of one panel in inches."""
     line, fill = axes.parse_colour(line), axes.parse_colour(fill)
     rows, columns = axes.panel_grid(len(panels))
     width, height = size[0] * DOTS, size[1] * DOTS
     draw = circular_panel if circular else linear_panel
-    body = "".join(draw(p, (i % columns) * width, (i // columns) * height, width, height, line, fill) for i, p in enumerate(panels))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width * columns:g}" height="{height * rows:g}"><rect width="100%" height="100%" fill="white"/>{body}</svg>\n'
+    return width * columns, height * rows, [s for i, p in enumerate(panels) for s in draw(p, (i % columns) * width, (i // columns) * height, width, height, line, fill)]
+
+
+def _drawn(shape: Shape) -> str:
+    if isinstance(shape, Text):
+        return f'<text x="{shape.x:.2f}" y="{shape.y:.2f}" font-family="sans-serif" font-size="{shape.size:g}" text-anchor="{shape.anchor}">{escape(shape.content)}</text>'
+    dash = ' stroke-dasharray="3,3"' if shape.dashed else ""
+    if isinstance(shape, Circle):
+        return f'<circle cx="{shape.x:.2f}" cy="{shape.y:.2f}" r="{shape.r:.2f}" fill="none" stroke="{shape.stroke}"{dash}/>'
+    places = "M" + "L".join(f"{x:.2f},{y:.2f}" for x, y in shape.places)
+    return f'<path d="{places}{"Z" if shape.fill else ""}" fill="{shape.fill or "none"}" stroke="{shape.stroke or "none"}"{dash}/>'
+
+
+def document(panels: Sequence[Panel], size: tuple[float, float], circular: bool = False, line: str = LINE, fill: str = FILL) -> str:
+    width, height, shapes = layout(panels, size, circular, line, fill)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}"><rect width="100%" height="100%" fill="white"/>{"".join(map(_drawn, shapes))}</svg>\n'

@@ -1,11 +1,14 @@
 import glob
+import struct
 import xml.etree.ElementTree as ET
+import zlib
 
+import numpy as np
 import pytest
 
 from depthframe import cli
 from depthframe.functions import axes
-from depthframe.sinks import files, svg
+from depthframe.sinks import files, png, requests, svg
 from depthframe.sources import readers
 from depthframe.streaming import depth as stream
 
@@ -89,13 +92,64 @@ def test_segments_and_drawing():
     assert svg.circular_scale(svg.Panel("x", points, 8))[2] == 8.0
 
 
-@pytest.mark.parametrize("extra", [[], ["-q", "chr1 10:-20"], ["-q", "1 90:5", "-c", "c"], ["-c", "circular", "--log"], ["-p", "n", "--max-points", "0", "--smoothing", "0"]])
+@pytest.mark.parametrize("extra", [[], ["-q", "chr1 10:-20"], ["-q", "1 90:5", "-c", "c"], ["-c", "circular", "--log"], ["-p", "n", "--max-points", "0", "--smoothing", "0", "--graph-format", "svg"]])
 def test_command_line(spark, folder, extra, capsys):
     args = cli.parse_args([str(folder / "graph"), str(folder / "reads"), "-o", str(folder / "out"), *extra])
     cli.run(spark, args)
     assert table(folder / "out" / files.TABLE)
     assert (folder / "out" / files.REPORT).read_text().startswith("=" * 70)
-    ET.fromstring((folder / "out" / f"{files.GRAPH}.svg").read_text())
+    if args.graph_format == "svg":
+        ET.fromstring((folder / "out" / f"{files.GRAPH}.svg").read_text())
+    else:
+        assert len(np.unique(dots((folder / "out" / f"{files.GRAPH}.png").read_bytes())[0].reshape(-1, 3), axis=0)) >= 4
+
+
+def dots(data):
+    """Of a PNG without filters: its dots and dots a metre, all check sums checked."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+        parts[kind], at = body, at + 12 + n
+    w, h = struct.unpack(">II", parts[b"IHDR"][:8])
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, 1 + 3 * w)
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(h, w, 3), struct.unpack(">II", parts[b"pHYs"][:8])
+
+
+def test_png_has_the_dots_of_the_shapes():
+    points = [svg.Point(i, 2.0, 2.0) for i in range(11)]
+    panel = svg.Panel("AB", points, 11)
+    got, (metre, _) = dots(png.document([panel], (4, 3), False, "#112233", "#445566", 96))
+    assert got.shape == (288, 384, 3) and metre == 3780
+    left, right, top, bottom = 55, 384 - 15, 28, 288 - 38
+    middle = got[round(bottom - (bottom - top) / 4), (left + right) // 2].tolist()
+    assert middle == [0x44, 0x55, 0x66] and [0x11, 0x22, 0x33] in got[top : bottom, (left + right) // 2].tolist()
+    # Everything that a larger resolution has is there as well, only finer.
+    twice, _ = dots(png.document([panel], (4, 3), False, "#112233", "#445566", 192))
+    assert twice.shape == (576, 768, 3)
+    share = lambda x: (x == [0x44, 0x55, 0x66]).all(2).mean()
+    assert share(got) == pytest.approx(share(twice), abs=0.01) and share(got) > 0.3
+    half, _ = dots(png.document([panel], (4, 3), False, "#112233", "#00000080", 96))
+    assert half[round(bottom - (bottom - top) / 4), (left + right) // 2].tolist() == [127] * 3
+    round_, _ = dots(png.document([panel] * 2, (3, 3), True, "#112233", "#445566", 96))
+    assert round_.shape == (288, 576, 3) and share(round_) > 0.1
+    assert png._bitmap("1é").shape == (8, 12) and png._bitmap("1")[:7].any() and not png._bitmap("1")[7].any()
+    with pytest.raises(ValueError, match="too large"):
+        png.document([panel], (400, 300), False, dpi=2400)
+
+
+def test_plot_request_of_the_command_line(spark, folder):
+    for extra, n in ((["-q", "chr1 290:20"], 1), ([], 2)):
+        out = folder / f"request{n}"
+        cli.run(spark, cli.parse_args([str(folder / "graph"), str(folder / "reads"), "-c", "circular", "-o", str(folder / "out"), "--no-table", "--no-stats", "--dpi", "50", "--plot-request", str(out), *extra]))
+        got = requests.decode(out.read_bytes())
+        assert len(got.packages) == n and got.dpi == 50 and got.rows == (0 if n == 1 else 1)
+        p = got.packages[0]
+        assert p.component_name == "chr1" and list(p.local_x) == sorted(p.local_x) and p.local_x[0] == 0 and len(p.plot_y) == len(p.local_x)
+        assert (p.crosses_origin, p.full_component, p.query_start, p.query_end) == ((True, False, 290, 20) if n == 1 else (False, True, 0, 299))
 
 
 def test_command_line_inspection(spark, folder, capsys):
@@ -105,7 +159,7 @@ def test_command_line_inspection(spark, folder, capsys):
     assert "chr2" in capsys.readouterr().out
 
 
-@pytest.mark.parametrize("extra", [["--no-graph", "--no-stats", "--no-table"], ["--log", "1"], ["--smoothing", "2"], ["-c", "round"], ["-p", "x"], ["--color-line", "red"], ["--fig-size", "7"], ["-q", "a b c"], ["--max-points", "-1"]])
+@pytest.mark.parametrize("extra", [["--no-graph", "--no-stats", "--no-table"], ["--log", "1"], ["--smoothing", "2"], ["-c", "round"], ["-p", "x"], ["--color-line", "red"], ["--fig-size", "7"], ["-q", "a b c"], ["--max-points", "-1"], ["--dpi", "0"], ["-t", "0"], ["-T", "x"], ["--plot-request", "f"]])
 def test_command_line_errors(extra):
     with pytest.raises(SystemExit):
         cli.parse_args(["g", "r", *extra])
@@ -115,6 +169,7 @@ def test_command_line_defaults():
     got = cli.parse_args(["g", "r"])
     assert (got.coverage_precision, got.component_type, got.smoothing, got.max_points, got.log, got.fig_size) == ("base", "linear", 0.01, 10_000, None, (5.5, 3.5))
     assert cli.parse_args(["g", "r", "-q", "a", "-c", "c"]).fig_size == (7.0, 7.0) and cli.parse_args(["g", "r", "--log"]).log == 10
+    assert (got.dpi, got.graph_format, got.worker_threads, cli.parse_args(["g", "r", "-t", "auto", "-T", "1"]).worker_threads) == (300, "png", None, 0)
     with pytest.raises(SystemExit):
         cli.parse_args(["g"])
 
