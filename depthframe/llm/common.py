@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -71,9 +72,14 @@ atexit.register(_clear)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, one in the warehouse, which all share as well."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none: one in the warehouse, which all
+    share as well; a local session, whose tasks run beside the driver, takes a folder of this machine."""
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        return "/tmp/checkpoints"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
