@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .functions import axes
 from .operators import query, series
 from .plans.engine import Analysis
-from .sinks import files, png, requests, svg
+from .sinks import files, png, renderer, requests, svg
 from .sources import readers, schema
 
 log = logging.getLogger("depthframe")
@@ -99,6 +99,7 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
     p.add_argument("--dpi", type=_number(int, 1, 2400), default=300, help="of a graph as PNG")
     p.add_argument("--graph-format", choices=("png", "svg"), default="png")
     p.add_argument("--plot-request", metavar="FILE", help="write a circular graph as a binary plot request as well")
+    p.add_argument("--renderer", metavar="COMMAND", help=f"program that draws circular graphs from a plot request: COMMAND REQUEST PICTURE; {renderer.VARIABLE} overrides it")
     p.add_argument("-t", "--worker-threads", type=_threads, metavar="N", help="threads of a local session, or auto")
     p.add_argument("-T", "--decompression-threads", type=_threads, metavar="N", help="taken for scripts that give it: tasks decompress what they read")
     p.add_argument("--color-line", type=_valid(axes.parse_colour), default=svg.LINE)
@@ -108,6 +109,8 @@ def parse_args(args: Sequence[str]) -> argparse.Namespace:
         p.error("alignments are needed unless --inspect is given")
     if got.no_graph and got.no_stats and got.no_table:
         p.error("all outputs are disabled")
+    if got.renderer and (got.component_type != "circular" or got.graph_format != "png"):
+        p.error("a renderer draws circular graphs as PNG")
     if got.plot_request and got.component_type != "circular":
         p.error("a plot request is for circular components")
     if got.fig_size is None:
@@ -161,7 +164,9 @@ def _request(panels: Sequence[svg.Panel], args: argparse.Namespace) -> requests.
 
 def _draw(spark: SparkSession, panels: Sequence[svg.Panel], args: argparse.Namespace) -> None:
     circular, look = args.component_type == "circular", (args.color_line, args.color_filling)
-    if args.graph_format == "svg":
+    if args.renderer:
+        files.write_bytes(spark, renderer.draw(requests.encode(_request(panels, args)), args.renderer), f"{args.output}/{files.GRAPH}.png")
+    elif args.graph_format == "svg":
         files.write_text(spark, svg.document(panels, args.fig_size, circular, *look), f"{args.output}/{files.GRAPH}.svg")
     else:
         files.write_bytes(spark, png.document(panels, args.fig_size, circular, *look, args.dpi), f"{args.output}/{files.GRAPH}.png")
