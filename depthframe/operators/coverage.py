@@ -95,13 +95,14 @@ def coverage_runs(projected: DataFrame, gaps: DataFrame | None = None, width: in
 
 
 def clip(runs: DataFrame, cid: int, pieces: Sequence[tuple[int, int]]) -> DataFrame:
-    """Runs of one component cut to the pieces (end exclusive); before any base is made."""
+    """Runs of one component cut to the pieces (end exclusive), in one pass and before any base is made."""
     runs = runs.where(F.col("cid") == cid)
-    parts = [runs.where((F.col("end") > a) & (F.col("start") < b)).select("cid", F.greatest("start", F.lit(a)).alias("start"), F.least("end", F.lit(b)).alias("end"), "depth") for a, b in pieces]
-    out = parts[0] if parts else runs.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not pieces:
+        return runs.limit(0)
+    zero = F.lit(0).cast("long")
+    each = F.array(*(F.struct((zero + a).alias("a"), (zero + b).alias("b")) for a, b in pieces))
+    cut = runs.select("cid", "start", "end", "depth", F.explode(each).alias("p")).where((F.col("end") > F.col("p.a")) & (F.col("start") < F.col("p.b")))
+    return cut.select("cid", F.greatest("start", "p.a").alias("start"), F.least("end", "p.b").alias("end"), "depth")
 
 
 def bases(runs: DataFrame) -> DataFrame:

@@ -95,12 +95,11 @@ def log_scale(value: Column, base: int) -> Column:
 def traversal_runs(runs: DataFrame, scope: Scope) -> DataFrame:
     """Runs of the scope's pieces in coordinates of the traversal; depth is null where no active node is."""
     zero = F.lit(0).cast("long")
-    cut = None
-    for a, b in scope.pieces:
-        shift = -scope.start if a >= scope.start else scope.length - scope.start
-        part = runs.where((F.col("cid") == scope.cid) & (F.col("end") > a) & (F.col("start") < b))
-        part = part.select("cid", (F.greatest("start", F.lit(a)) + shift).alias("start"), (F.least("end", F.lit(b)) + shift).alias("end"), "depth")
-        cut = part if cut is None else cut.unionByName(part)
+    shift = lambda a: -scope.start if a >= scope.start else scope.length - scope.start
+    # All pieces in one pass over the runs.
+    pieces = F.array(*(F.struct((zero + a).alias("a"), (zero + b).alias("b"), (zero + shift(a)).alias("shift")) for a, b in scope.pieces))
+    cut = runs.where(F.col("cid") == scope.cid).select("cid", "start", "end", "depth", F.explode(pieces).alias("p")).where((F.col("end") > F.col("p.a")) & (F.col("start") < F.col("p.b")))
+    cut = cut.select("cid", (F.greatest("start", "p.a") + F.col("p.shift")).alias("start"), (F.least("end", "p.b") + F.col("p.shift")).alias("end"), "depth")
     # What the pieces leave of the traversal: at most one stretch between two pieces, and its ends.
     n = scope.traversal_length()
     local = sorted((a - scope.start, b - scope.start) if a >= scope.start else (a + scope.length - scope.start, b + scope.length - scope.start) for a, b in scope.pieces)

@@ -78,7 +78,8 @@ def _query(name: str, oracle: str):
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    return Analysis(fixture.nodes(spark, sf_dir), fixture.components(spark, sf_dir), fixture.alignments(spark, sf_dir))
+    components, nodes = fixture.graph(spark, sf_dir)
+    return Analysis(nodes, components, fixture.alignments(spark, sf_dir))
 
 
 def _six(*names: str) -> list[Column]:

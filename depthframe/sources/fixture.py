@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .schema import COMPONENTS
+
 #: The line items of an order in the order of its path.
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -17,17 +19,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cid and name. Brands are few, whatever the scale."""
-    names = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
-    return names.select((F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("cid"), "name")
+def _brands(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The names of components in order. Brands are 25, whatever the scale, so they are literals of the plans."""
+    names = _table(spark, sf_dir, "part").select("p_brand").distinct().where("p_brand is not null")
+    return sorted(r["p_brand"] for r in names.collect())
+
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """components (cid, name) and nodes (cid, node_id, idx, seq_len)."""
+    names = _brands(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").where("p_brand is not null")
+    cid = (F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("p_brand")) - 1).cast("int")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("p_type", "p_partkey")) - 1
+    nodes = parts.select(cid.alias("cid"), "p_type", "p_partkey", "p_size")
+    nodes = nodes.select("cid", (F.col("p_partkey") + 1).alias("node_id"), rank.cast("long").alias("idx"), F.col("p_size").cast("long").alias("seq_len"))
+    return spark.createDataFrame(list(enumerate(names)), COMPONENTS), nodes
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cid, node_id, idx, seq_len."""
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type", "p_partkey")) - 1
-    parts = _table(spark, sf_dir, "part").select("p_brand", (F.col("p_partkey") + 1).alias("node_id"), rank.cast("long").alias("idx"), F.col("p_size").cast("long").alias("seq_len"))
-    return parts.join(components(spark, sf_dir), parts["p_brand"] == F.col("name")).select("cid", "node_id", "idx", "seq_len")
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir)[0]
 
 
 def _hundredths(name: str) -> Column:

@@ -11,7 +11,7 @@ from .graphs import THREE, TWO, analysis, depths, mapping
 def test_counts_of_reads(spark):
     a = analysis(spark, {"c": [(100, 0, 1), (101, 1, 1), (102, 2, 1), (103, 3, 1), (104, 4, 1)]}, [[], [0], [99], [105], [102], [101], [103, 104]])
     active = a.nodes.where("node_id <> 102")
-    got = reads.mapping_stats(reads.read_flags(a.alignments, active)).first()
+    got = reads.mapping_stats(a.alignments, active).first()
     assert (got["total"], got["unmapped"], got["mapped"], got["mapped_to_query"]) == (7, 2, 5, 2)
     depth = {r["node_id"]: r["depth"] for r in coverage.node_depth(coverage.place(reads.mappings(a.alignments), a.layout().where("node_id <> 102"))).collect()}
     assert depth == {101: 1, 103: 1, 104: 1}

@@ -83,5 +83,5 @@ def test_points_find_nodes(spark):
 def test_a_component_is_a_pushed_filter(spark, sf_dir):
     from depthframe.sources import fixture
 
-    plan = fixture.nodes(spark, sf_dir).where(F.col("cid") == 3)._jdf.queryExecution().toString()
+    plan = fixture.graph(spark, sf_dir)[1].where(F.col("cid") == 3)._jdf.queryExecution().toString()
     assert "ReadSchema" in plan and "p_name" not in plan.rpartition("Physical Plan")[2]
