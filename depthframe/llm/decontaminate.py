@@ -20,7 +20,7 @@ result. Words are compared by 64-bit hashes, texts by 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +49,28 @@ def places_of(short: list[int]) -> list[tuple[int, ...]]:
     return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in short]
 
 
-def seeds(arrays: list[np.ndarray], places: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask its number and, of all its positions in the arrays of word hashes: array, first word and seed."""
+def seeds(arrays: list[np.ndarray], places: list[tuple[int, ...]], passes: Callable[[np.ndarray], np.ndarray] = lambda h: np.arange(len(h))) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each mask its number and, of its positions in the arrays of word hashes whose seeds pass: array, first word and seed."""
     sizes = np.array([len(x) for x in arrays], np.int64)
     if not sizes.sum():
         return
-    data, starts = np.concatenate(arrays), np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(arrays)), sizes)
-    left = (starts + sizes)[of] - np.arange(len(data))  # words from each one to the end of its text
+    data, ends = np.concatenate(arrays), np.cumsum(sizes)
     for k, where in enumerate(places):
-        at = np.flatnonzero(left > where[-1])
-        h = np.full(len(at), np.uint64(k + 1))
+        n = len(data) - where[-1]
+        if n <= 0:
+            continue
+        h = np.full(n, np.uint64(k + 1))
         with np.errstate(over="ignore"):
             for p in where:
-                h = (h ^ data[at + p]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= data[p : p + n]
+                h *= np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        yield k, of[at], at - starts[of[at]], h
+        # Of the few that pass, those that reach into the next array go.
+        at = passes(h)
+        of = np.searchsorted(ends, at, "right")
+        inside = at + where[-1] < ends[of]
+        at, of = at[inside], of[inside]
+        yield k, of, at - (ends - sizes)[of], h[at]
 
 
 class Sieve:
@@ -172,10 +178,10 @@ def _hits(docs: DataFrame, text_col: str, sieve: Sieve, places: list[tuple[int,
         vocabulary = Words()
         for batch in pieces(batches, "text"):
             arrays = [vocabulary.hashes(t) for t in batch.column("text").to_pylist()]
-            found = [(of[i], at[i], h[i]) for _, of, at, h in seeds(arrays, places) if len(i := sent.value.passes(h))]
+            found = [f for _, *f in seeds(arrays, places, sent.value.passes) if len(f[0])]
             if not found:
                 continue
-            of, at, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+            of, at, h = map(np.concatenate, zip(*found, strict=True))
             order = np.argsort(of, kind="stable")
             of, at, h = of[order], at[order], h[order]
             rows, starts = np.unique(of, return_index=True)
