@@ -36,7 +36,7 @@ TOXIC_BYTES, CLEAN_BYTES = 4_000_000, 8_000_000
 ROW_BYTES, LONGEST = 64, 1 << 20
 #: A term follows at least so many different words in toxic texts ...
 LEAST_CONTEXTS = 6
-#: ... in at least so many toxic texts ...
+#: ... in at least so many toxic texts that are not near copies of others ...
 LEAST_TEXTS = 5
 #: ... and these are at least this share of its weighted contexts.
 PURITY = 0.95
@@ -126,10 +126,14 @@ class Lexicon:
         self.known: dict[str, float] = {}
 
     def _purity(self, toxic: set[str]) -> dict[str, float]:
-        """The share of words near a term that only toxic texts have, where many harmless words come near it; else 1."""
+        """The share of words near a term that only toxic texts have, where many harmless words come near it; else 1.
+
+        Any ending makes a word near a stem: there it is what this share is above one half, doubled.
+        """
         good = Counter(w for token in self.harmless for w in self._near(token))
         bad = Counter(w for token in toxic - self.harmless if token not in self.words for w in self._near(token))
-        return {w: (bad[w] + CROWD) / (bad[w] + n) for w, n in good.items() if n > CROWD}
+        share = {w: (bad[w] + CROWD) / (bad[w] + n) for w, n in good.items() if n > CROWD}
+        return {w: max(0.0, 2 * p - 1) if w in self.stems else p for w, p in share.items()}
 
     @staticmethod
     def _cuts(word: str, edits: int) -> list[tuple[int, int]]:
@@ -226,19 +230,30 @@ class Lexicon:
 def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float], set[str], set[str]]:
     """Words and stems of the lexicon with their weights, all words of the harmless texts, and all of the toxic ones."""
 
-    def contexts(texts: list[str]) -> tuple[dict[str, set[str]], Counter, Counter]:
+    def contexts(texts: list[str]) -> tuple[dict[str, set[str]], Counter, Counter, Counter]:
+        """The words before each word; in how many texts a word or stem is; in how many of these most words before it are new."""
         found: dict[str, set[str]] = defaultdict(set)
-        in_texts, stem_texts = Counter(), Counter()
+        in_texts, stem_texts, new_texts = Counter(), Counter(), Counter()
         for t in texts:
-            before, words = "", tokens(t)
-            for w in words:
+            words = tokens(t)
+            pairs = set(zip(words, ["", *words], strict=False))
+            new = [(w, before) for w, before in pairs if before not in found[w]]
+            for w, before in new:
                 found[w].add(before)
-                before = w
             in_texts.update(own := set(words))
             stem_texts.update({w[:n] for w in own for n in STEM_LENGTHS if len(w) >= n})
-        return found, in_texts, stem_texts
-
-    (bad, bad_texts, bad_stem_texts), (good, good_texts, good_stem_texts) = contexts(toxic), contexts(clean)
+            seen, fresh = Counter(), Counter()
+            for count, part in ((seen, pairs), (fresh, new)):
+                for w, _ in part:
+                    count[w, 0] += 1
+                    for n in STEM_LENGTHS:
+                        if len(w) >= n:
+                            count[w[:n], n] += 1
+            # A near copy of a text, however long, has few that are new.
+            new_texts.update([name for name, n in fresh.items() if 2 * n >= seen[name]])
+        return found, in_texts, stem_texts, new_texts
+
+    (bad, bad_texts, bad_stem_texts, bad_new), (good, good_texts, good_stem_texts, _) = contexts(toxic), contexts(clean)
     n_bad, n_good = sum(map(len, bad.values())), sum(map(len, good.values()))
     chance = n_bad / max(1, n_bad + n_good)
 
@@ -257,14 +272,18 @@ def _terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[s
     # So many contexts, all of them in toxic texts, that chance explains few of the terms found.
     least = max(LEAST_CONTEXTS, math.ceil(math.log(FALSE_TERMS / tested) / math.log(max(1e-9, min(chance, 0.999)))))
 
+    # Forms of a stem come in clusters, as texts differ in kind: chance is asked over independent texts as well.
+    text_chance = len(toxic) / max(1, len(toxic) + len(clean))
+    least_texts = max(LEAST_TEXTS, math.ceil(math.log(FALSE_TERMS / tested) / math.log(max(1e-9, min(text_chance, 0.999)))))
+
     def pure(n: int, other: int) -> bool:
         share = chance / (1 - chance) if chance < 1 else 1.0
         return n >= least + 4 * other and n >= PURITY * (n + other * share)
 
-    words = {w for w, before in bad.items() if len(w) > 2 and bad_texts[w] >= LEAST_TEXTS and pure(len(before), len(good.get(w, ())))}
+    words = {w for w, before in bad.items() if len(w) > 2 and bad_new[w, 0] >= LEAST_TEXTS and pure(len(before), len(good.get(w, ())))}
     found: set[str] = set()
     for s in sorted(bad_stems, key=len):
-        if any(s[:n] in found for n in STEM_LENGTHS if n < len(s)) or bad_forms[s] < 4 or bad_stem_texts[s] < LEAST_TEXTS or not pure(bad_stems[s], good_stems[s]):
+        if any(s[:n] in found for n in STEM_LENGTHS if n < len(s)) or bad_forms[s] < 4 or bad_new[s, len(s)] < least_texts or not pure(bad_stems[s], good_stems[s]):
             continue
         top = max((len(bad[w]) for w in words if w.startswith(s)), default=0)
         if top < 0.7 * bad_stems[s]:  # else one word explains the stem

@@ -70,6 +70,29 @@ def test_copies_teach_nothing():
     assert "strange" not in model.lexicon.words
 
 
+def test_clusters_of_forms_are_no_stems():
+    """A harmless kind of texts that happens to be in the toxic sample only: near copies, and a few texts with many forms."""
+    rows, rng = corpus(600), random.Random(8)
+    forms = [f"chon{a}{b}" for a in ("ta", "ri", "lo", "men") for b in ("na", "ko", "vi", "s", "re")]
+    long = [rng.choice(forms) if rng.random() < 0.3 else rng.choice(["tanas", "riko", "lovit"]) for _ in range(400)]
+    near = [" ".join(w if rng.random() > 0.05 else f"{rng.randrange(10**7):07}" for w in long) for _ in range(40)]
+    few = [" ".join(rng.choice([*forms, f"{rng.randrange(10**7):07}"]) for _ in range(200)) for _ in range(6)]
+    for extra in (near, few):
+        model = toxicity.fit([t for _, t, y in rows if y] + extra, [t for _, t, y in rows if not y], 150 + len(extra), 450)
+        assert set(model.lexicon.stems) == {"grumpf"} and max(model.score(["tana ciónna riko chonta lovit", "cionri menna"])) < 0.3
+
+
+def test_words_near_a_stem_by_chance_do_not_count():
+    """Very many harmless words are one letter from a real stem, and new ones keep coming: these say nothing."""
+    rng = random.Random(10)
+    end = lambda: "".join(rng.choice(["ta", "ri", "lo", "men", "ue", "ga", "do"]) for _ in range(3))
+    text = lambda stem: " ".join(x for _ in range(25) for x in (rng.choice(["tana", "riko", "lovit", "una"]) + str(rng.randrange(40)), f"cion{end()}", *([stem + end()] if stem and rng.random() < 0.1 else [])))
+    toxic, clean = [text("chon") + " chontari" for _ in range(150)], [text(None) for _ in range(300)]
+    model = toxicity.fit(toxic, clean, 150, 300)
+    assert list(model.lexicon.stems) == ["chon"] and model.lexicon.purity["chon"] < 0.1
+    assert max(model.score([text(None) for _ in range(50)])) < 0.3 < min(model.score([f"tana chon{end()} riko"] * 5))
+
+
 def test_one_kind_of_label():
     assert toxicity.fit([], ["a"], 0, 1).score(["x"])[0] < 1e-6 and toxicity.fit([], [], 0, 0).score([None])[0] < 1e-6
 
